@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontaminate, line_dedup, quality
 
 QUERIES = {
+    "op6_quality_rules": quality.op6_quality_rules,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op6_quality_rules": quality.OP6_SQL,
+    "op8_decontamination": decontaminate.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
