@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, quality
+from . import decontaminate, line_dedup, near_dedup, quality
 
 QUERIES = {
+    "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op5_minhash_near_dedup": near_dedup.OP5_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
