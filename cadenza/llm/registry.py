@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, near_dedup, quality
+from . import decontaminate, line_dedup, mixing, near_dedup, quality
 
 QUERIES = {
+    "op3_source_mixing": mixing.op3_source_mixing,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_decontamination": decontaminate.op8_decontamination,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_source_mixing": mixing.OP3_SQL,
     "op5_minhash_near_dedup": near_dedup.OP5_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
