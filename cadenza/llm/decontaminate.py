@@ -268,18 +268,34 @@ def op8_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-OP8_SQL = f"""
+def decontamination_sql(table: str = "documents") -> str:
+    """The measures of op8, with the text and the hit words' places (from 1), in DuckDB's SQL."""
+    return f"""
 WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 pat AS (SELECT DISTINCT item, L, array_to_string(w[i : i + L - 1], ' ') AS p
         FROM (SELECT item, w, L, unnest(range(1, len(w) - L + 2)) AS i FROM (SELECT item, w, least(13, len(w)) AS L FROM iw WHERE len(w) > 0))),
-dw AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+dw AS (SELECT doc_id, text, coalesce({_WORDS}, []) AS w FROM {table}),
 occ AS (SELECT d.doc_id, d.i, d.L, pat.item
         FROM (SELECT doc_id, L, i, array_to_string(w[i : i + L - 1], ' ') AS p
               FROM (SELECT doc_id, w, L, unnest(range(1, len(w) - L + 2)) AS i FROM dw, (SELECT DISTINCT L FROM pat) WHERE len(w) >= L)) d
         JOIN pat ON pat.p = d.p AND pat.L = d.L),
-hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + L)) AS k FROM (SELECT DISTINCT doc_id, i, L FROM occ)) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit, list(DISTINCT k) AS hits FROM (SELECT doc_id, unnest(range(i, i + L)) AS k FROM (SELECT DISTINCT doc_id, i, L FROM occ)) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
 SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, text, hits
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+
+OP8_SQL = f"SELECT * EXCLUDE (text, hits) FROM ({decontamination_sql()})"
+
+
+def cut_sql(table: str) -> str:
+    """(doc_id, text) without the spans, from a table of decontamination_sql: words and the gaps between them in turn, less hit words and the gaps between two."""
+    return f"""
+SELECT doc_id, CASE WHEN hits IS NULL THEN text ELSE array_to_string(list_transform(list_filter(
+  list_zip(parts, range(1, len(parts) + 1)), lambda p: NOT CASE WHEN (p[2] + odd) % 2 = 0 THEN list_contains(hits, (p[2] + odd) // 2)
+  ELSE list_contains(hits, (p[2] + odd - 1) // 2) AND list_contains(hits, (p[2] + odd + 1) // 2) END), lambda p: p[1]), '') END AS text
+FROM (SELECT *, CASE WHEN regexp_matches(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]') THEN 1 ELSE 0 END AS odd,
+  regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS parts FROM {table})
+"""

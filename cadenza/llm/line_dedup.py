@@ -212,13 +212,18 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-OP10_SQL = f"""
+def line_dedup_sql(table: str = "documents") -> str:
+    """(doc_id, n_lines, n_dropped, text) in DuckDB's SQL."""
+    return f"""
 WITH l AS (
   SELECT doc_id, k, line, translate(trim(line, {_WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS k
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM {table}))),
 f AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
 SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL AND l.doc_id <> f.keeper) AS n_dropped,
-       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.k) FILTER (WHERE f.key IS NULL OR l.doc_id = f.keeper), '')) AS kept_sha256
+       coalesce(string_agg(l.line, chr(10) ORDER BY l.k) FILTER (WHERE f.key IS NULL OR l.doc_id = f.keeper), '') AS text
 FROM l LEFT JOIN f USING (key) GROUP BY l.doc_id
 """
+
+
+OP10_SQL = f"SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM ({line_dedup_sql()})"

@@ -245,13 +245,18 @@ def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 _SET = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
-OP5_SQL = f"""
-WITH RECURSIVE w AS (SELECT doc_id, coalesce({_SET}, []) AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 4) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+def near_dedup_sql(table: str = "documents", words: int = 5) -> str:
+    """The result of near_duplicates at 0.8 in DuckDB's SQL."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce({_SET}, []) AS w FROM {table}),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), {words}) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words} + 1, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 link AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.node WHERE reach.root < link.b)
+reach AS (SELECT doc_id AS node, doc_id AS root FROM {table} UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.node WHERE reach.root < link.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
-FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) r ON r.node = d.doc_id
+FROM {table} d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) r ON r.node = d.doc_id
 """
+
+
+OP5_SQL = near_dedup_sql(words=4)

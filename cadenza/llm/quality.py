@@ -211,9 +211,11 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _KEY = f"translate(trim(line, {_WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TOKEN = r"'[^\x20\x09-\x0D]+'"
-OP6_SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_TOKEN}) AS w FROM documents),
-l AS (SELECT doc_id, source, text, line, {_KEY} AS key, len(regexp_extract_all(line, {_TOKEN})) AS n FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d)),
+def quality_sql(table: str = "documents") -> str:
+    """The measures, kept, and the text left, in DuckDB's SQL."""
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_TOKEN}) AS w FROM {table}),
+l AS (SELECT doc_id, source, text, k, line, {_KEY} AS key, len(regexp_extract_all(line, {_TOKEN})) AS n FROM (SELECT doc_id, source, text, unnest(parts) AS line, unnest(range(len(parts))) AS k FROM (SELECT *, string_split(text, chr(10)) AS parts FROM d))),
 dup AS (SELECT doc_id, sum(c - 1) AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS c FROM l WHERE n > 0 GROUP BY doc_id, line) GROUP BY doc_id),
 g AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 rep AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM
@@ -222,12 +224,16 @@ host AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
 f AS (SELECT l.source, key FROM l JOIN host ON l.source IS NOT DISTINCT FROM host.source WHERE key <> '' GROUP BY l.source, key, host.docs
       HAVING count(DISTINCT text) > greatest(20, 0.01 * host.docs)),
 gone AS (SELECT doc_id, count(*) AS n_lines_removed, sum(n) AS n_words_removed FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.key = f.key GROUP BY doc_id),
-m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+here AS (SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE f.key IS NULL), '') AS left_text FROM l LEFT JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.key = f.key GROUP BY l.doc_id),
+m AS (SELECT d.doc_id, left_text, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
       coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(n_words_removed, 0) AS n_words_removed
-      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id) JOIN here USING (doc_id))
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_lines_removed AS BIGINT) AS n_lines_removed, CAST(n_words_removed AS BIGINT) AS n_words_removed,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_words_removed >= 0.2 * n_words AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_words_removed >= 0.2 * n_words AS kept, left_text
 FROM m
 """
+
+
+OP6_SQL = f"SELECT * EXCLUDE (left_text) FROM ({quality_sql()})"
