@@ -1,12 +1,12 @@
 """Line dedup: a sharded minimal perfect hash over the corpus' distinct lines.
 
 Pass 1 hashes each long enough line key and sends packed (hash, document) arrays to shards by the hash.
-Each shard counts the distinct documents of every key and stores a minimal perfect hash with three arrays:
-a fingerprint, the count (saturated) and, for keys in enough documents, the largest document id.
+Each shard counts the distinct documents of every key, up to min_docs, and stores a minimal perfect hash with three
+arrays: a fingerprint, that count and, for keys in enough documents, the largest document id.
 Pass 2 reads the documents again and probes the memory-mapped arrays; no line is joined and no text is moved.
 
-Shards are by key hash and their number follows the input's bytes.  A line that a third of the documents holds is
-one packed entry a document in its shard; per block of text each document sends a key once.
+Shards are by key hash and their number follows the input's bytes.  Before it sends, a task keeps of each key the
+min_docs smallest documents and the largest, so a line that a third of the documents holds is min_docs + 1 entries a task.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from .frames import binary, col, extend, ids, joined, shard_count, text_bytes, t
 from .shared import mapped, new_folder, write
 
 GAMMA = 2.0
+FLUSH = 1 << 20
 LEVELS = 40
 
 
@@ -98,6 +99,24 @@ def line_keys(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, end, first, K.span_hash(K.prefix(K.lower(data)), s, e), points[e] - points[s]
 
 
+def condensed(held: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) pairs, sorted and distinct; of each hash the `most` smallest documents and the largest.
+
+    That is enough to tell whether `most` documents hold it, and which is the largest, however often it is repeated.
+    """
+    h, d = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    h, d = h[keep], d[keep]
+    head = np.ones(len(h), bool)
+    head[1:] = h[1:] != h[:-1]
+    first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
+    keep = (np.arange(len(h)) - first < most) | np.append(head[1:], True)
+    return h[keep], d[keep]
+
+
 def build_index(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> tuple[str, int]:
     """Write the shards; returns their folder and number."""
     spark = docs.sparkSession
@@ -105,35 +124,39 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min
     folder = new_folder(spark, "lines")
 
     def pack(batches):
+        held, size = [], 0
         for batch in batches:
             doc = ids(batch.column(0))
             for a, b, at, data in K.blocks(batch.column(1)):
-                _, _, first, h, size = line_keys(at, data)
-                row = K.row_of(first)
-                row, h = K.unique_in_rows(row[size >= min_chars], h[size >= min_chars])
-                order = np.argsort(h, kind="stable")
-                h, d = h[order], doc[a:b][row[order]]
-                cut = np.searchsorted(top_shard(h, n), np.arange(n + 1))
-                full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), binary([h[cut[k] : cut[k + 1]] for k in full]), binary([d[cut[k] : cut[k + 1]] for k in full])], ["shard", "h", "d"])
+                _, _, first, h, points = line_keys(at, data)
+                row, h = K.unique_in_rows(K.row_of(first)[points >= min_chars], h[points >= min_chars])
+                held.append((h, doc[a:b][row]))
+                size += len(h)
+                if size >= FLUSH:
+                    held = [condensed(held, min_docs)]
+                    size = len(held[0][0])
+                    if size >= FLUSH // 2:
+                        yield send(*held[0])
+                        held, size = [], 0
+        if held:
+            yield send(*condensed(held, min_docs))
+
+    def send(h, d):
+        cut = np.searchsorted(top_shard(h, n), np.arange(n + 1))
+        full = np.flatnonzero(np.diff(cut))
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), binary([h[cut[k] : cut[k + 1]] for k in full]), binary([d[cut[k] : cut[k + 1]] for k in full])], ["shard", "h", "d"])
 
     def build(table):
         shard = table["shard"][0].as_py()
-        h, d = joined(table["h"], np.uint64), joined(table["d"], np.int64)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        key = np.ones(len(h), bool)
-        key[1:] = h[1:] != h[:-1]
-        pair = key.copy()
-        pair[1:] |= d[1:] != d[:-1]
-        first = np.flatnonzero(key)
-        count = np.add.reduceat(pair.astype(np.int64), first)
+        h, d = condensed([(joined(table["h"], np.uint64), joined(table["d"], np.int64))], min_docs)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        count = np.minimum(np.diff(np.append(first, len(h))), min_docs)
         keys, most = h[first], d[np.append(first[1:], len(h)) - 1]
         mph, sizes = build_mph(keys)
         at = probe_mph(mph, sizes, keys)
         prints, counts, keeper = np.zeros(len(keys), np.uint16), np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.int64)
-        prints[at], counts[at], keeper[at] = (keys & np.uint64(0xFFFF)).astype(np.uint16), np.minimum(count, 255), most
-        often = counts >= min(min_docs, 255)
+        prints[at], counts[at], keeper[at] = (keys & np.uint64(0xFFFF)).astype(np.uint16), count, most
+        often = counts >= min_docs
         bits = np.packbits(np.concatenate([often, np.zeros(-len(often) % 64, bool)]), bitorder="little").view(np.uint64)
         ranks = np.zeros(len(bits) + 1, np.uint32)
         np.cumsum(np.bitwise_count(bits), out=ranks[1:])
