@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, near_dedup, quality
+from . import decontaminate, line_dedup, mixing, near_dedup, quality, toxicity, url_rules
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op7_url_rules": url_rules.op7_url_rules,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_url_rules": url_rules.OP7_SQL,
     "op3_source_mixing": mixing.OP3_SQL,
     "op5_minhash_near_dedup": near_dedup.OP5_SQL,
     "op6_quality_rules": quality.OP6_SQL,
