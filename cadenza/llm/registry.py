@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, mixing, near_dedup, ngram, quality, toxicity, url_rules
+from . import decontaminate, html_text, langid, line_dedup, mixing, near_dedup, ngram, quality, toxicity, url_rules
 
 QUERIES = {
+    "op4_html_text": html_text.op4_html_text,
     "op1_lm_scoring": ngram.op1_lm_scoring,
     "op9_language_id": langid.op9_language_id,
     "op2_toxicity": toxicity.op2_toxicity,
