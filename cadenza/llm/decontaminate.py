@@ -29,6 +29,7 @@ from .frames import col, extend
 from .shared import mapped, new_folder, write
 
 SAMPLE = 8
+SHARD_BYTES = 2 << 20
 
 
 class WaveletMatrix:
@@ -201,7 +202,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def mark(batch):
         column = batch.column(batch.schema.get_field_index(text_col))
         words, hits, found, spans = [], [], [], []
-        for a, b, at, data in K.blocks(column):
+        for a, b, at, data in K.blocks(column, SHARD_BYTES):
             low = K.lower(data)
             s, e, first = K.spans(K.ALNUM[low], at)
             h, row = K.span_hash(K.prefix(low), s, e), K.row_of(first)

@@ -22,16 +22,20 @@ def col(name: str) -> Column:
 def extend(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """df with new columns from fn(batch); columns of the same names (in any case) are replaced."""
     new = {f.name.lower() for f in fields}
-    kept = [f for f in df.schema.fields if f.name.lower() not in new]
-    names, made = [f.name for f in kept], [f.name for f in fields]
+    have = df.schema.fields
+    kept = [i for i, f in enumerate(have) if f.name.lower() not in new]
+    names, made = [f.name for f in have], [f.name for f in fields]
+    safe = [f"c{i}" for i in range(len(kept) + len(fields))]  # names with dots don't pass through mapInArrow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = fn(batch)
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + [out[n] for n in made], names + made)
+                out = fn(pa.RecordBatch.from_arrays(batch.columns, names))
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [out[n] for n in made], safe)
 
-    return df.mapInArrow(run, T.StructType(kept + fields))
+    types = [have[i].dataType for i in kept] + [f.dataType for f in fields]
+    rows = df.toDF(*[f"c{i}" for i in range(len(have))])
+    return rows.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(safe, types, strict=True)])).toDF(*[names[i] for i in kept], *made)
 
 
 def ids(column: pa.Array) -> np.ndarray:

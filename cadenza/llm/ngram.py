@@ -199,7 +199,7 @@ def pairs_model(train: DataFrame, layout: Layout, folder: str) -> np.ndarray:
         k, kind = table["shard"][0].as_py(), np.asarray(table["kind"])
         b, m, base = layout.bits, int(vocabulary.sizes[k]), int(vocabulary.offset[k])
         parts = [summed(joined(t["k"], np.uint64), joined(t["c"], np.uint32).astype(np.int64)) for t in (table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1)))]
-        out, kinds = {}, np.zeros(len(layout.hot), np.int64)
+        out, kinds, total = {}, np.zeros(len(layout.hot), np.int64), np.zeros(0, np.int64)
         if m:
             x, _ = mapped(f"{folder}/words-{k}")
             total = np.diff(EliasFano.of(x, "counts").get(np.arange(m + 1)).astype(np.int64))
