@@ -184,7 +184,7 @@ _PAIR = f"{_BEATS},\n{_peaks('e', 'beat', 1)}"
 _N, _A, _D = 220, 22, 110  # samples of a click, its attack and its decay at CLICK_RATE
 
 ORACLE_SQL = {
-    "sliding_max_peaks": f"WITH {_BEATS} SELECT piece_id, frame FROM b_p",
+    "sliding_max_peaks": f"WITH {_BEATS} SELECT piece_id, CAST(frame AS INTEGER) AS frame FROM b_p",
     "peak_merge": f"WITH {_BEATS} SELECT piece_id, position FROM b_m",
     "frame_to_time": f"WITH {_BEATS} SELECT piece_id, position, CAST(CAST(position / 50.0 AS FLOAT) AS DOUBLE) AS time FROM b_m",
     "asof_snap": f"WITH {_DECODE} SELECT piece_id, CAST(time AS DOUBLE) AS time FROM down",

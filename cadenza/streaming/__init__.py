@@ -1 +1 @@
-
+"""Nothing here yet: the analysis works on whole recordings, and chunk k of a growing one is ready once frame 1488 (k + 1) + 5 has come."""
