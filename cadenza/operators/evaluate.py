@@ -87,3 +87,10 @@ def batch_summary(files: DataFrame, model_seconds: float = 0.0) -> DataFrame:
         "total_files", "failed_files", F.col("d").cast("float").alias("total_duration_secs"), F.col("p").cast("float").alias("total_processing_time_secs"),
         F.lit(float(model_seconds)).cast("float").alias("model_loading_time_secs"), F.when(F.col("p") > 0, F.col("d") / F.col("p")).otherwise(F.lit(0.0)).cast("float").alias("realtime_factor"),
     )
+
+
+def speedup(runs: DataFrame, baseline: str) -> DataFrame:
+    """(runtime, seconds, speedup) from (runtime, seconds) of single runs: sums, and the baseline's sum by each."""
+    total = runs.groupBy("runtime").agg(F.sum("seconds").alias("seconds"))
+    base = total.where(F.col("runtime") == baseline).select(F.col("seconds").alias("base"))  # one row
+    return total.join(F.broadcast(base)).select("runtime", "seconds", F.when(F.col("seconds") > 0, F.col("base") / F.col("seconds")).alias("speedup"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +53,22 @@ def analyze(pcm: DataFrame, make_model: Callable[[], Model]) -> DataFrame:
     out = pcm.select("piece_id").distinct().join(found, "piece_id", "left")
     empty = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
     return out.select("piece_id", empty("beats"), empty("downbeats"), "bpm")
+
+
+def analyze_timed(pcm: DataFrame, make_model: Callable[[], Model]) -> tuple[DataFrame, dict[str, float]]:
+    """results, and the seconds that mel frames, the model and the decoding took, each computed and kept before the next."""
+    seconds, began = {}, time.perf_counter()
+
+    def done(name: str, df: DataFrame) -> DataFrame:
+        nonlocal began
+        df = df.persist(StorageLevel.DISK_ONLY)
+        df.count()
+        seconds[name], began = time.perf_counter() - began, time.perf_counter()
+        return df
+
+    frames = done("mel", mel_frames(pcm.where(F.col("samples").isNotNull())))
+    logits = done("predict", predict(frames, make_model))
+    found = done("decode", analyze_logits(logits))
+    frames.unpersist()
+    logits.unpersist()
+    return found, seconds

@@ -147,3 +147,17 @@ def test_command_line(spark, tmp_path):
 def test_default_outputs():
     assert cli.flags_of(cli.options(["x"]), True)["json"] == "" and cli.flags_of(cli.options(["x"]), False)["json"] is None
     assert cli.flags_of(cli.options(["x", "--beats"]), True)["json"] is None
+
+
+def test_timed_analysis_and_speedup(spark):
+    from cadenza.operators.evaluate import speedup
+    from cadenza.plans.analysis import analyze_timed
+
+    def make():
+        return lambda x: (x.mean(axis=2) - 1, x.mean(axis=2) - 1)
+
+    pcm = spark.createDataFrame([("a", 22050, [0.0] * 30000)], "piece_id string, sample_rate int, samples array<float>")
+    found, seconds = analyze_timed(pcm, make)
+    assert found.first().beats == [] and set(seconds) == {"mel", "predict", "decode"}
+    runs = spark.createDataFrame([("a", 4.0), ("a", 2.0), ("b", 3.0)], "runtime string, seconds double")
+    assert {r.runtime: r.speedup for r in speedup(runs, "a").collect()} == {"a": 1, "b": 2}
