@@ -6,14 +6,15 @@ share a band are candidates, and links are confirmed on the full shingle sets.
 
 * Documents of equal shingle sets collapse first to one node (with a map-side minimum), so that a group of exact copies
   of any size is one node from then on.
-* Rounds of stars: every member of a bucket is compared with one pivot, the smallest of it, then the largest;
-  confirmed links form components by large-star/small-star rounds.  A bucket of m near copies thus costs m
-  comparisons, not m squared.
-* Last, members of a bucket that are still in different components are compared with each other.  Pairs inside
-  a component are never made: its links are known already.  What lies in a bucket is confirmed or refuted, with no cap.
-
-Only nodes that some comparison needs have their sets moved: the second pass over the texts probes the sorted keys of
-those nodes, memory-mapped from the shared folder.
+* The sets of nodes that share a bucket are written once, by shard, to the shared folder and memory-mapped by the
+  tasks that compare; candidates carry keys alone.
+* A round of stars: every member of a bucket is compared with one pivot, the member that shares most buckets with others.
+  Confirmed links form components by large-star/small-star rounds, so that a bucket of m near copies costs m
+  comparisons first, not m squared.
+* Then the members that are still outside their pivot's component are compared with the rest of their bucket, in blocks of
+  bounded size whose intersections are counted by one matrix product; a block pair sends a spanning forest
+  of the links it found.  Pairs inside a component are never compared: they are linked already.  Everything else
+  that lies in a bucket is confirmed or refuted, with no cap on partners.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .frames import binary, col, joined, top_shard
+from .frames import binary, col, joined, shard_count, text_bytes, top_shard
 from .graph import components, stored
 from .shared import mapped, new_folder, write
 
@@ -114,6 +115,22 @@ def sign(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, ro
     return ids_.mapInArrow(run, f"id {ids_.schema['id'].dataType.simpleString()}, n long, node long, buckets array<long>")
 
 
+class Sets:
+    """The shingle sets of nodes, in memory-mapped shards."""
+
+    def __init__(self, uri: str, shards: int):
+        self.uri, self.shards = uri, shards
+
+    def get(self, nodes: np.ndarray) -> list[np.ndarray]:
+        key, out = nodes.view(np.uint64), [np.zeros(0, np.uint64)] * len(nodes)
+        shard = top_shard(key, self.shards)
+        for i in range(len(key)):
+            x, _ = mapped(f"{self.uri}-{int(shard[i])}")
+            k = int(np.searchsorted(x["node"], key[i]))
+            out[i] = x["sets"][x["cut"][k] : x["cut"][k + 1]]
+        return out
+
+
 def key_files(keys: DataFrame, folder: str, name: str, shards: int) -> str:
     """Write the distinct longs of a one-column table as sorted arrays by shard."""
     uri = f"{folder}/{name}"
@@ -149,45 +166,135 @@ def among(uri: str, shards: int, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int, folder: str, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have at least percent/100 of their union in common."""
-    pairs = stored(pairs, folder, f"{name}-pairs")
-    need = pairs.select("a").union(pairs.select("b")).distinct()
-    shards = 64
-    uri = key_files(need, folder, f"{name}-need", shards)
+def write_sets(docs: DataFrame, need: DataFrame, text_col: str, words: int, folder: str) -> Sets:
+    """Write the sets of the nodes in `need` (a table of keys): one more pass over the texts."""
+    shards = shard_count(text_bytes(docs, text_col))
+    uri, out = key_files(need, folder, "need", shards), f"{folder}/sets"
 
-    def sets_of(batches):
+    def cut_out(batches):
         for batch in batches:
             for _, _, at, data in K.blocks(batch.column(0)):
                 sets, cut = shingle_sets(at, data, words)
                 key = set_key(sets, cut)
                 at = np.flatnonzero((np.diff(cut) > 0) & among(uri, shards, key))
                 at = at[np.unique(key[at], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), binary([sets[cut[i] : cut[i + 1]] for i in at])], ["node", "set"])
+                shard = top_shard(key[at].view(np.uint64), shards)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(key[at]), binary([sets[cut[i] : cut[i + 1]] for i in at])], ["shard", "node", "set"])
+
+    def keep(table):
+        key = np.asarray(table["node"].combine_chunks()).view(np.uint64)
+        order = np.argsort(key)
+        found = table["set"].combine_chunks()
+        sets = [np.frombuffer(found[int(i)].as_buffer(), np.uint64) for i in order]
+        write(f"{out}-{table['shard'][0].as_py()}", {"node": key[order], "cut": np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int64), "sets": np.concatenate(sets)})
+        return pa.table({"shard": table["shard"][:1]})
+
+    rows = docs.select(col(text_col).alias("t")).mapInArrow(cut_out, "shard int, node long, set binary")
+    one = rows.groupBy("shard", "node").agg(F.min("set").alias("set"))  # copies collapse on the map side
+    one.groupBy("shard").applyInArrow(keep, "shard int").count()
+    return Sets(out, shards)
+
+
+def confirm(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have at least percent/100 of their union in common."""
 
     def same(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            a, b = (np.asarray(batch.column(i)) for i in range(2))
+            for x, y in zip(sets.get(a), sets.get(b), strict=True):
                 z = np.sort(np.concatenate([x, y]))
                 common = int((z[1:] == z[:-1]).sum())
                 good.append(100 * common >= percent * (len(z) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return pairs.mapInArrow(same, "a long, b long")
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every set of a with every set of b."""
+    out = np.zeros((len(a), len(b)), np.float64)
+    ha, hb = np.concatenate(a), np.concatenate(b)
+    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    both = np.intersect1d(ha, hb)
+    ia, ib = np.searchsorted(both, ha), np.searchsorted(both, hb)
+    ok = ia < len(both)
+    ok[ok] = both[ia[ok]] == ha[ok]
+    ra, ia = ra[ok], ia[ok]
+    ok = ib < len(both)
+    ok[ok] = both[ib[ok]] == hb[ok]
+    rb, ib = rb[ok], ib[ok]
+    for start in range(0, len(both), width):
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        at = (ia >= start) & (ia < start + width)
+        x[ra[at], ia[at] - start] = 1
+        at = (ib >= start) & (ib < start + width)
+        y[rb[at], ib[at] - start] = 1
+        out += x @ y.T
+    return out
 
-    sets = docs.select(col(text_col).alias("t")).mapInArrow(sets_of, "node long, set binary")
-    one = sets.groupBy("node").agg(F.min("set").alias("set"))  # copies collapse on the map side
-    one = stored(one, folder, f"{name}-sets")
-    both = pairs.join(one.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(same, "a long, b long"), folder, f"{name}-links")
 
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of links (pairs of roots)."""
+    parent: dict[int, int] = {}
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in links.tolist():
+        x, y = find(a), find(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def link_blocks(blocks: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """Links (a, b) between roots, from rows of two blocks: nodes and their roots (na, ra, nb, rb)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                na, ra, nb, rb = (np.array(batch.column(c)[i].as_py(), np.int64) for c in range(4))
+                if len(np.unique(np.concatenate([ra, rb]))) < 2:
+                    continue
+                a, b = sets.get(na), sets.get(nb)
+                size = np.add.outer([len(x) for x in a], [len(x) for x in b])
+                common = common_counts(a, b)
+                x, y = np.nonzero((100 * common >= percent * (size - common)) & (ra[:, None] != rb[None, :]))
+                if len(x):
+                    out += forest(np.unique(np.stack([np.minimum(ra[x], rb[y]), np.maximum(ra[x], rb[y])], 1), axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return blocks.select("na", "ra", "nb", "rb").mapInArrow(run, "a long, b long")
+
+
+def block_pairs(member: DataFrame, label: DataFrame, most: int = 256, shingles: int = 40_000) -> DataFrame:
+    """Block pairs of the buckets whose members are in two components or more.
+
+    A bucket's members inside its pivot's component, and those outside, are cut into blocks of about `most` members and
+    `shingles` shingles; the outer blocks meet all blocks of the bucket.
+    """
+    other = label.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    placed = member.join(label, "node", "left").join(other, "pivot", "left").withColumn("root", F.coalesce("root", "node")).withColumn("inner", F.col("root") == F.coalesce("pivot_root", "pivot"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / shingles)).cast("int").alias("cuts")).where("r1 <> r2").select("bucket", "cuts")
+    part = placed.join(split, "bucket").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    blocks = part.groupBy("bucket", "inner", "cut").agg(F.collect_list(F.struct("node", "root")).alias("m")).select("bucket", "inner", "cut", F.col("m.node").alias("n"), F.col("m.root").alias("r"))
+    left = blocks.where(~F.col("inner")).select("bucket", F.col("cut").alias("c"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    return left.join(blocks.withColumnsRenamed({"n": "nb", "r": "rb"}), "bucket").where(F.col("inner") | (F.col("c") <= F.col("cut")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
     """One row per document: id, n_shingles, component_id and kept.
 
     Documents are linked if their sets of `words`-word shingles (A-Z lower-cased) have a Jaccard similarity of at least
     percent/100; component_id is the smallest id reachable, and kept is id = component_id.  At the default bands a pair
-    at 0.8 is missed with a chance of 4e-6, and links of a group support each other.
+    at 0.8 is missed with a chance of 7e-6, and links of a group support each other.
 
     Texts of fewer words have one shingle, the whole sequence.  Null, empty or wordless texts have none and stand alone.
     Documents of null id join their component but are never kept, and if a component has no other, its component_id
@@ -196,34 +303,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = new_folder(docs.sparkSession, "near")
     signed = stored(sign(docs, id_col, text_col, words, bands, rows), folder, "signed")
     nodes = stored(signed.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("buckets").alias("buckets")), folder, "nodes")
-    member = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
-    crowd = member.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    member = stored(member.join(crowd, "bucket"), folder, "member")  # of buckets with two nodes or more
-
-    def fits(n, m):
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-    def pairs(left, right):
-        return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+    member = nodes.select("node", "n", F.posexplode("buckets").alias("band", "bucket"))
+    crowd = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    member = stored(member.join(crowd, "bucket"), folder, "crowded")
+    central = member.groupBy("node").agg(F.sum("size").alias("central"))
+    pivots = member.join(central, "node").groupBy("bucket").agg(F.max(F.struct("central", "node"))["node"].alias("pivot"))
+    member = stored(member.join(pivots, "bucket"), folder, "member")
+    sets = write_sets(docs, member.select("node").distinct(), text_col, words, folder)
 
     size = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("m"))
-    links, label = None, None
-    for k, end in enumerate(("low", "high")):
-        rest = member.where(F.col("node") != F.col(end))
-        if label is not None:
-            rest = rest.join(label.select("node", "root"), "node", "left").join(label.select(F.col("node").alias(end), F.col("root").alias("other")), end, "left")
-            rest = rest.where(F.coalesce("root", "node") != F.coalesce("other", end))
-        star = rest.select(F.col("node"), F.col("n"), F.col(end).alias("pivot")).distinct().join(size, "pivot").where(fits(F.col("n"), F.col("m")))
-        found = confirm(star.select(*pairs(F.col("node"), F.col("pivot"))).distinct(), docs, text_col, words, percent, folder, f"star{k}")
-        links = found if links is None else links.unionByName(found)
-        label = components(links, folder, f"cc{k}")
-    placed = member.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
-    placed = stored(placed.join(split, "bucket").select("bucket", "node", "n", "root"), folder, "placed")
-    other = placed.select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    cross = placed.join(other, "bucket").where((F.col("root") < F.col("root2")) & fits(F.col("n"), F.col("n2")))
-    found = confirm(cross.select(*pairs(F.col("node"), F.col("node2"))).distinct(), docs, text_col, words, percent, folder, "cross")
-    label = components(links.unionByName(found), folder, "cc-last")
+    star = member.where("node <> pivot").select("node", "pivot", "n").distinct().join(size, "pivot").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    links = stored(confirm(star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), sets, percent), folder, "star")
+    label = components(links, folder, "cc-star")
+    for k, some in enumerate((F.col("band") < 3, F.col("band") >= 3)):
+        found = stored(link_blocks(block_pairs(member.where(some), label), sets, percent), folder, f"links-{k}")
+        links = links.unionByName(found)
+        label = components(links, folder, f"cc-{k}")
 
     named = nodes.select("node", "least").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
