@@ -66,3 +66,16 @@ def joined(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
     """All values of packed binary rows, one after another."""
     found = [np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid]
     return np.concatenate(found) if found else np.zeros(0, kind)
+
+
+def range_bounds(keys: DataFrame, buckets: int, sample: int = 4000) -> list[str]:
+    """Bounds that cut the strings of a one-column table to `buckets` ranges, from about `sample` of them.
+
+    Rows are drawn by a threshold on a hash of the key, so that what reaches the driver stays the same at any size.
+    """
+    total = keys.count()
+    if not total:
+        return []
+    key = col(keys.columns[0])
+    drawn = sorted(r[0] for r in keys.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 40)) / float(1 << 40) < min(1.0, sample / total)).distinct().collect())
+    return sorted({drawn[len(drawn) * i // buckets] for i in range(1, buckets)}) if drawn else []

@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import col
+from .frames import col, range_bounds
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SAMPLE = 4000
 
 
 def host_of(url: Column) -> Column:
@@ -51,9 +50,7 @@ def match_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     kept = [f for f in urls.schema.fields if f.name.lower() not in new]
     rows = urls.select(host_of(col(url_col)).alias("_host"), path_of(col(url_col)).alias("_path"), F.struct(*[col(f.name) for f in kept]).alias("_row"))
     rows = rows.withColumn("_sort", F.concat(key_of(F.col("_host")), F.col("_path"), F.lit(" "), F.hex(F.xxhash64("_row"))))
-    u = F.pmod(F.xxhash64("_sort", F.lit(7)), F.lit(1 << 30))
-    drawn = sorted(r[0] for r in rows.select("_sort", u.alias("u")).orderBy("u", "_sort").limit(SAMPLE).select("_sort").collect())  # SAMPLE keys at most
-    bounds = sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else []
+    bounds = range_bounds(rows.select("_sort"), n)
 
     def place(batches):
         for batch in batches:
