@@ -26,10 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import col
+from .frames import col, range_bounds
 from .url_rules import host_of, path_of
 
-SAMPLE = 4000
 MAIN, CHROME, OTHER = 2, 0, 1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
@@ -189,9 +188,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     n = buckets or 2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = [f for f in pages.schema.fields if f.name.lower() not in ("text", "n_chars") and f.name != html_col]
     key = F.concat(host_of(col(url_col)), F.lit("\x01"), path_of(col(url_col)), F.lit("\x01"), F.hex(F.xxhash64(col(id_col), col(url_col))))
-    u = F.pmod(F.xxhash64(col(id_col), F.lit(5)), F.lit(1 << 30))
-    drawn = sorted(r[0] for r in pages.select(key.alias("k"), u.alias("u")).orderBy("u", "k").limit(SAMPLE).select("k").collect())  # SAMPLE keys at most
-    bounds = sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else []
+    bounds = range_bounds(pages.select(key.alias("k")), n)
 
     def parse(batches):
         for big in batches:
