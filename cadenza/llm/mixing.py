@@ -70,25 +70,29 @@ def unit_hash(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def measure(docs: DataFrame, text_col: str = "text", topic: Column | None = None) -> DataFrame:
+    """docs with n_tokens and topic (topic: an expression; by default the text's style)."""
+    marks = docs.drop("n_tokens", "topic").withColumn("n_tokens", token_count(col(text_col)))
+    return marks.withColumn("topic", F.coalesce(topic if topic is not None else style_topic(F.coalesce(col(text_col), F.lit("")), F.col("n_tokens")), F.lit("")))
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
-    targets: dict[str, DataFrame] | None = None, power: float = 0.7, rate: float = 0.5, sweeps: int = SWEEPS, seed: str = "mix", small: int = 100_000,
+    targets: dict[str, DataFrame] | None = None, power: float = 0.7, rate: float = 0.5, sweeps: int = SWEEPS, seed: str = "mix", small: int = 100_000, measured: bool = False,
 ) -> DataFrame:
     """docs with n_tokens, topic, probability and sampled.
 
     Token weights are raked to the targets of m1 (source), m2 (language) and m3 (topic); without targets, to the
     tokens' shares to `power`.  Overall `rate` of the tokens are asked for; a cell is asked for all it has at most.
-    topic: an expression; by default the text's style.
+    topic: see measure.  measured: docs have been through measure already (and need no text).
 
     Null source, language or topic count as the empty string.  Null or empty texts have no tokens; a document in a cell
     without tokens has probability `rate`.  Null ids are drawn as the id ''.  Repeated rows are drawn alike.  An empty
     table gives an empty table.  Columns of the new names are replaced.
     """
     folder = new_folder(docs.sparkSession, "mix")
-    tokens = token_count(col(text_col))
-    base = docs.drop("n_tokens", "topic", "probability", "sampled")
-    marks = base.withColumn("n_tokens", tokens)
-    marks = marks.withColumn("topic", F.coalesce(topic if topic is not None else style_topic(F.coalesce(col(text_col), F.lit("")), F.col("n_tokens")), F.lit("")))
+    docs = docs.drop("probability", "sampled")
+    marks = docs if measured else measure(docs, text_col, topic)
     key = lambda c: F.coalesce(col(c).cast("string"), F.lit(""))
     cells = stored(marks.groupBy(key(source_col).alias("m1"), key(lang_col).alias("m2"), F.col("topic").alias("m3")).agg(F.sum("n_tokens").alias("tokens")), folder, "cells")
     few = cells.count() <= small
@@ -100,7 +104,8 @@ def mix_sources(
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return mix_sources(docs).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+    marks = stored(measure(docs).drop("text"), new_folder(spark, "marks"), "marks")  # the texts are read once
+    return mix_sources(marks, measured=True).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
 def mixing_sql(table: str = "documents", power: float = 0.7, rate: float = 0.5, sweeps: int = SWEEPS, seed: str = "mix") -> tuple[str, str]:
