@@ -284,6 +284,7 @@ def block_pairs(member: DataFrame, label: DataFrame, most: int = 256, shingles:
     placed = member.join(label, "node", "left").join(other, "pivot", "left").withColumn("root", F.coalesce("root", "node")).withColumn("inner", F.col("root") == F.coalesce("pivot_root", "pivot"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / shingles)).cast("int").alias("cuts")).where("r1 <> r2").select("bucket", "cuts")
     part = placed.join(split, "bucket").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    part = part.repartition("bucket", "inner", "cut")  # else the grouping would reuse the join's partitions, a whole bucket in one
     blocks = part.groupBy("bucket", "inner", "cut").agg(F.collect_list(F.struct("node", "root")).alias("m")).select("bucket", "inner", "cut", F.col("m.node").alias("n"), F.col("m.root").alias("r"))
     left = blocks.where(~F.col("inner")).select("bucket", F.col("cut").alias("c"), F.col("n").alias("na"), F.col("r").alias("ra"))
     return left.join(blocks.withColumnsRenamed({"n": "nb", "r": "rb"}), "bucket").where(F.col("inner") | (F.col("c") <= F.col("cut")))
