@@ -6,8 +6,8 @@ beginning, their lines are aligned by a longest common subsequence, and shared l
 Differencing alone can't be right where menus and adverts differ from page to page, or where two articles of a host
 quote the same line.  So each line also has a zone from the markup.  Lines in an article (or main) element are
 protected: the article is wanted whole.  Lines in elements that are chrome by tag, role or class (menus, footers,
-adverts, forms, comments ...) go whether shared or not.  All others stay only if the neighbour lacks them; on a page with an
-article they go too.
+adverts, forms, comments ...) go whether shared or not.  All others stay only if the neighbour lacks them, beside an
+article too.
 
 A page's lines move once, to a range of (host, path) whose bounds come from a sample of fixed size with ties broken by
 id, so that a host with a third of all pages is spread out.  A page at the edge of a range pairs with its neighbour
@@ -175,8 +175,7 @@ def alike(a: str, b: str) -> int:
 
 def main_text(zones: list[int], lines: list[str], shared: set[int]) -> str:
     """The lines that stay, joined."""
-    least = MAIN if MAIN in zones else OTHER
-    return "\n".join(line for i, (z, line) in enumerate(zip(zones, lines)) if z == MAIN or z >= least and i not in shared)
+    return "\n".join(line for i, (z, line) in enumerate(zip(zones, lines)) if z == MAIN or z == OTHER and i not in shared)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", buckets: int | None = None) -> DataFrame:
@@ -226,7 +225,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     def finish(before, page, after):
         near = [p for p in (before, after) if p and p[0] == page[0] and p[1] == page[1]]
         shared: set[int] = set()
-        if near and OTHER in page[3] or near and MAIN not in page[3]:
+        if near and OTHER in page[3]:  # else no line depends on it
             other = max(near, key=lambda p: alike(p[2], page[2]))
             shared = common_lines(page[4], other[4])
         return page[5], main_text(page[3], page[4], shared)

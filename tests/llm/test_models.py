@@ -216,6 +216,13 @@ def test_page_text(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_page_text_beside_article(spark):
+    page = "<body><div>Menu</div><article><p>{}</p><p>quote</p></article><p>{}</p><div>Bottom</div></body>"
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", page.format(f"body {k}", f"note {k}")) for k in range(3)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_text.extract_text(df, buckets=1).collect()}
+    assert found == {k: f"body {k}\nquote\nnote {k}" for k in range(3)}
+
+
 def test_common_lines():
     rng = random.Random(2)
 
