@@ -1,7 +1,9 @@
 """Main text of web pages by nearest-URL differencing.
 
-Pages are sorted by host and URL path, each is paired with the neighbour of the same host whose path shares the longer
-beginning, their lines are aligned by a longest common subsequence, and shared lines are deleted.
+Pages are sorted by host and URL path.  Of the nearest pages of the same host before and after it whose content differs,
+each is paired with the one whose path shares the longer beginning; their lines are aligned by a longest common
+subsequence, and shared lines are deleted.  Contents are equal if all lines but chrome are, so copies and one page under
+two query strings are no neighbours.
 
 Differencing alone can't be right where menus and adverts differ from page to page, or where two articles of a host
 quote the same line.  So each line also has a zone from the markup.  Lines in an article (or main) element are
@@ -10,13 +12,15 @@ adverts, forms, comments ...) go whether shared or not.  All others stay only if
 article too.
 
 A page's lines move once, to a range of (host, path) whose bounds come from a sample of fixed size with ties broken by
-id, so that a host with a third of all pages is spread out.  A page at the edge of a range pairs with its neighbour
-inside it.
+id, so that a host with a third of all pages is spread out.  Where a page's neighbour lies in another range, a pass over
+keys and digests alone has found it before (four pages a range reach the driver), and its lines go to both ranges; so the
+text does not depend on the number of ranges.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html as _html
 import re
 
@@ -178,64 +182,177 @@ def main_text(zones: list[int], lines: list[str], shared: set[int]) -> str:
     return "\n".join(line for i, (z, line) in enumerate(zip(zones, lines)) if z == MAIN or z == OTHER and i not in shared)
 
 
+def content_key(found: list[tuple[int, str]]) -> bytes:
+    """A digest of a page's lines and zones without its chrome."""
+    h = hashlib.blake2b(digest_size=16)
+    for z, x in found:
+        if z != CHROME:
+            h.update(b"%d" % z + x.encode("utf-8", "surrogatepass") + b"\n")
+    return h.digest()
+
+
+def host_part(key: str) -> str:
+    return key.split("\x01", 1)[0]
+
+
+def range_ends(batches):
+    """Of each range: its first and last page, and the first and last of the same host that differ from these in content."""
+    names = ["bucket", *[f"{e}_{c}" for e in ("first", "second", "last", "other") for c in ("sort", "digest")]]
+
+    def row(bucket, *pages):
+        flat = [v for p in pages for v in p or (None, None)]
+        kinds = [pa.int32(), *[pa.string(), pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([bucket, *flat], kinds, strict=True)], names)
+
+    bucket = first = second = last = other = None
+    for batch in batches:
+        for k, *page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if k != bucket:
+                if bucket is not None:
+                    yield row(bucket, first, second, last, other)
+                bucket, first, second, last, other = k, page, None, page, None
+                continue
+            if host_part(page[0]) != host_part(last[0]):
+                other = None
+            elif page[1] != last[1]:
+                other = last
+            if second is None and page[1] != first[1] and host_part(page[0]) == host_part(first[0]):
+                second = page
+            last = page
+    if bucket is not None:
+        yield row(bucket, first, second, last, other)
+
+
+ENDS = "bucket int, " + ", ".join(f"{e}_sort string, {e}_digest binary" for e in ("first", "second", "last", "other"))
+
+
+def guests(ends: list[tuple]) -> dict[tuple[str, bytes], list[tuple[int, int]]]:
+    """Pages (key, digest) that another range needs, with that range and -1 if they come before it, 1 if after.
+
+    ends: (bucket, first, second, last, other) of range_ends, by bucket.
+    """
+    out: dict = {}
+
+    def walk(side, rows):
+        last = other = None  # of all ranges passed
+        for bucket, near, _, far, far_other in rows:
+            guest = None
+            if last and host_part(last[0]) == host_part(near[0]):
+                guest = last if last[1] != near[1] else other
+            if guest:
+                out.setdefault(guest, []).append((bucket, side))
+            copies = host_part(near[0]) == host_part(far[0]) and far_other is None
+            last, other = far, guest if copies else far_other
+
+    walk(-1, ends)
+    walk(1, [(k, last, other, first, second) for k, first, second, last, other in reversed(ends)])
+    return out
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", buckets: int | None = None) -> DataFrame:
     """pages, less their html, with text (main text, its blocks joined by newlines) and n_chars.
 
     Null or empty html gives an empty text.  Null URLs, or URLs without ://, form a host of their own.  Repeated pages are
-    each other's neighbours, and keep what is in an article.  Columns named text or n_chars are replaced.
+    compared with the nearest page that differs, and a page whose host has no other content keeps all but its chrome.
+    Columns named text or n_chars are replaced.
     """
     n = buckets or 2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = [f for f in pages.schema.fields if f.name.lower() not in ("text", "n_chars") and f.name != html_col]
     key = F.concat(host_of(col(url_col)), F.lit("\x01"), path_of(col(url_col)), F.lit("\x01"), F.hex(F.xxhash64(col(id_col), col(url_col))))
     bounds = range_bounds(pages.select(key.alias("k")), n)
 
+    def outline(batches):
+        for big in batches:
+            for start in range(0, big.num_rows, 256):
+                batch = big.slice(start, 256)
+                at = [bisect.bisect_right(bounds, s) for s in batch.column(0).to_pylist()]
+                digests = [content_key(page_lines(source or "")) for source in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), pa.array(digests, pa.binary())], ["_bucket", "_sort", "_digest"])
+
+    away: dict = {}
+    if bounds:
+        keys = pages.select(key.alias("_sort"), col(html_col).alias("_html")).mapInArrow(outline, "_bucket int, _sort string, _digest binary")
+        ends = keys.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_sort", "_digest").mapInArrow(range_ends, ENDS).collect()  # a row a range
+        pair = lambda s, d: None if s is None else (s, bytes(d))
+        away = guests(sorted(((r[0], *[pair(r[i], r[i + 1]) for i in (1, 3, 5, 7)]) for r in ends), key=lambda r: r[0]))
+
     def parse(batches):
+        sent = set()
         for big in batches:
             for start in range(0, big.num_rows, 256):
                 batch = big.slice(start, 256)
-                zones, lines = [], []
-                for source in batch.column(2).to_pylist():
+                zones, lines, digests, place = [], [], [], []
+                for i, (sort, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                     found = page_lines(source or "")
                     zones.append(bytes(z for z, _ in found))
                     # chrome is only compared, so its hash is enough
                     lines.append([x if z != CHROME else "#" + format(hash_line(x), "x") for z, x in found])
-                at = [bisect.bisect_right(bounds, s) for s in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(1), batch.column(0), pa.array(zones, pa.binary()), pa.array(lines, pa.list_(pa.string()))], ["_bucket", "_sort", "_row", "_zones", "_lines"])
-
+                    digests.append(content_key(found))
+                    place.append((i, bisect.bisect_right(bounds, sort), 0))
+                    for to in away.get((sort, digests[-1]), ()):
+                        if (sort, digests[-1], to) not in sent:
+                            sent.add((sort, digests[-1], to))
+                            place.append((i, *to))
+                made = pa.RecordBatch.from_arrays([batch.column(1), pa.array(digests, pa.binary()), batch.column(0), pa.array(zones, pa.binary()), pa.array(lines, pa.list_(pa.string()))], names[2:])
+                made = made.take(pa.array([p[0] for p in place], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[pa.array([p[k] for p in place], pa.int32()) for k in (1, 2)], *made.columns], names)
+
+    names = ["_bucket", "_side", "_sort", "_digest", "_row", "_zones", "_lines"]
     rows = pages.select(F.struct(*[col(f.name) for f in kept]).alias("_row"), key.alias("_sort"), col(html_col).alias("_html"))
-    schema = T.StructType([T.StructField("_bucket", T.IntegerType()), T.StructField("_sort", T.StringType()), rows.schema["_row"], T.StructField("_zones", T.BinaryType()), T.StructField("_lines", T.ArrayType(T.StringType()))])
-    placed = rows.mapInArrow(parse, schema).repartition(n, "_bucket").sortWithinPartitions("_bucket", "_sort")
+    kinds = [T.IntegerType(), T.IntegerType(), T.StringType(), T.BinaryType(), rows.schema["_row"].dataType, T.BinaryType(), T.ArrayType(T.StringType())]
+    schema = T.StructType([T.StructField(c, t) for c, t in zip(names, kinds, strict=True)])
+    placed = rows.mapInArrow(parse, schema).repartition(n, "_bucket").sortWithinPartitions("_bucket", "_side", "_sort", "_digest")
 
     def difference(batches):
-        before, here = None, None
+        before, run, made = None, [], []  # run: neighbours of equal content
+        for page in read(batches):
+            here = run and run[-1]["place"] == page["place"]
+            if here and run[-1]["digest"] == page["digest"]:
+                if page["zones"] == run[-1]["zones"] and page["lines"] == run[-1]["lines"]:
+                    page["zones"], page["lines"] = run[-1]["zones"], run[-1]["lines"]  # copies share memory
+                run.append(page)
+                continue
+            for done in finish(before, run, page if here else None):
+                made.append(done)
+                if len(made) == 256:
+                    yield emit(made)
+                    made = []
+            before, run = run[-1] if here else None, [page]
+        for done in finish(before, run, None):
+            made.append(done)
+            if len(made) == 256:
+                yield emit(made)
+                made = []
+        if made:
+            yield emit(made)
+
+    def read(batches):
         for big in batches:
             for start in range(0, big.num_rows, 256):
                 batch = big.slice(start, 256)
-                made = []
-                for i, page in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                    page = (*page[:1], *page[1].split("\x01")[:2], list(page[2]), page[3], batch.slice(i, 1).column(2))
-                    if here:
-                        made.append(finish(before, here, page))
-                    before, here = here, page
-                if made:
-                    yield emit(made)
-        if here:
-            yield emit([finish(before, here, None)])
-
-    def finish(before, page, after):
-        near = [p for p in (before, after) if p and p[0] == page[0] and p[1] == page[1]]
-        shared: set[int] = set()
-        if near and OTHER in page[3]:  # else no line depends on it
-            other = max(near, key=lambda p: alike(p[2], page[2]))
-            shared = common_lines(page[4], other[4])
-        return page[5], main_text(page[3], page[4], shared)
+                for i, (bucket, side, sort, digest, zones, lines) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5, 6)), strict=True)):
+                    host, path = sort.split("\x01")[:2]
+                    yield {"place": (bucket, host), "side": side, "path": path, "digest": digest, "zones": list(zones), "lines": lines, "row": batch.column(4).take(pa.array([i]))}
+
+    def finish(before, run, after):
+        near, last, text = [p for p in (before, after) if p], None, ""
+        for page in run:
+            if page["side"]:  # another range's
+                continue
+            other = None
+            if near and OTHER in page["zones"]:  # else no line depends on it
+                other = max(near, key=lambda p: alike(p["path"], page["path"]))
+            if last is None or last[0] is not page["lines"] or last[1] is not other:
+                last = page["lines"], other
+                text = main_text(page["zones"], page["lines"], common_lines(page["lines"], other["lines"]) if other else set())
+            yield page["row"], text
 
     def emit(made):
         row = pa.concat_arrays([m[0] for m in made])
         text = pa.array([m[1] for m in made], pa.string())
         return pa.RecordBatch.from_arrays([*[row.field(k) for k in range(len(kept))], text, pa.array([len(m[1]) for m in made], pa.int64())], [*[f.name for f in kept], "text", "n_chars"])
 
-    return placed.select("_bucket", "_sort", "_row", "_zones", "_lines").mapInArrow(difference, T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return placed.mapInArrow(difference, T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 
 def hash_line(line: str) -> int:

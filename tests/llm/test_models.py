@@ -223,6 +223,35 @@ def test_page_text_beside_article(spark):
     assert found == {k: f"body {k}\nquote\nnote {k}" for k in range(3)}
 
 
+def test_page_text_of_copies_and_range_edges(spark):
+    """The nearest page of other content is compared, whatever the ranges are."""
+    rng = random.Random(4)
+    page = '<body><div class="ad">{}</div><div>Menu {}</div><p>{}</p><p>{}</p><div>Bottom</div></body>'
+    rows, plain = [], []
+    for h in range(3):
+        k = 0
+        while k < 40:
+            size = rng.choice([1, 1, 2, 3, 15])  # so many in a row are copies; some under one path
+            body, menu, quote, same = f"body {h} {k}", rng.choice("ab"), f"quote {rng.randint(0, 2)}", rng.random() < 0.5
+            for j in range(size):
+                path = f"/{'xyz'[k * 3 // 60]}/{k if same else k + j:03d}"
+                rows.append((len(rows), f"http://h{h}.org{path}?utm={j}", page.format(rng.random(), menu, body, quote)))
+                plain.append((h, path, [f"Menu {menu}", body, quote, "Bottom"]))
+            k += size
+    want = {}
+    for i, (h, path, lines) in enumerate(plain):
+        near = [next((p for p in side if p[0] == h and p[2] != lines), None) for side in (plain[:i][::-1], plain[i + 1 :])]
+        other = max((p for p in near if p), key=lambda p: html_text.alike(p[1], path))[2]
+        want[i] = "\n".join(x for x, y in zip(lines, other) if x != y)
+    rows += [(1000 + k, f"http://copies.org/{k}", page.format(k, "a", "only", "text")) for k in range(30)] + [(1000, "http://copies.org/0", page.format(0, "a", "only", "text"))] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for buckets in (1, 7, 150):
+        found = [(r.page_id, r.text) for r in html_text.extract_text(df, buckets=buckets).collect()]
+        assert len(found) == len(rows)
+        assert {i: t for i, t in found if i < 1000} == want
+        assert {t for i, t in found if i >= 1000} == {"Menu a\nonly\ntext\nBottom"}
+
+
 def test_common_lines():
     rng = random.Random(2)
 
