@@ -84,8 +84,8 @@ def set_key(sets: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.where(n > 0, K.mix(total[cut[1:]] - total[cut[:-1]] + n), np.uint64(0)).view(np.int64)
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, node, buckets) of each document; node is null and buckets empty where there is no word."""
+def sign(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int, key_col: str | None = None) -> DataFrame:
+    """(id, n, node, buckets, and key if named) of each document; node is null and buckets empty where there is no word."""
 
     def run(batches):
         for batch in batches:
@@ -109,10 +109,10 @@ def sign(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, ro
             n, node = np.concatenate(n), np.concatenate(node)
             flat = np.concatenate([x for x in found if len(x)]) if n.any() else np.zeros(0, np.int64)
             cut = np.append(0, np.cumsum(np.where(n > 0, bands, 0))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], ["id", "n", "node", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), *batch.columns[2:]], ["id", "n", "node", "buckets", "key"][: 2 + batch.num_columns])
 
-    ids_ = docs.select(col(id_col).alias("id"), col(text_col).alias("t"))
-    return ids_.mapInArrow(run, f"id {ids_.schema['id'].dataType.simpleString()}, n long, node long, buckets array<long>")
+    ids_ = docs.select(col(id_col).alias("id"), col(text_col).alias("t"), *([col(key_col).alias("key")] if key_col else []))
+    return ids_.mapInArrow(run, f"id {ids_.schema['id'].dataType.simpleString()}, n long, node long, buckets array<long>" + ", key long" * bool(key_col))
 
 
 class Sets:
@@ -290,19 +290,9 @@ def block_pairs(member: DataFrame, label: DataFrame, most: int = 256, shingles:
     return left.join(blocks.withColumnsRenamed({"n": "nb", "r": "rb"}), "bucket").where(F.col("inner") | (F.col("c") <= F.col("cut")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
-    """One row per document: id, n_shingles, component_id and kept.
-
-    Documents are linked if their sets of `words`-word shingles (A-Z lower-cased) have a Jaccard similarity of at least
-    percent/100; component_id is the smallest id reachable, and kept is id = component_id.  At the default bands a pair
-    at 0.8 is missed with a chance of 7e-6, and links of a group support each other.
-
-    Texts of fewer words have one shingle, the whole sequence.  Null, empty or wordless texts have none and stand alone.
-    Documents of null id join their component but are never kept, and if a component has no other, its component_id
-    is null.  Rows that repeat an id get a row each.
-    """
-    folder = new_folder(docs.sparkSession, "near")
-    signed = stored(sign(docs, id_col, text_col, words, bands, rows), folder, "signed")
+def linked(docs: DataFrame, folder: str, id_col: str, text_col: str, words: int, percent: int, bands: int = 30, rows: int = 5, key_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(signed documents; node, least id and root of every node)."""
+    signed = stored(sign(docs, id_col, text_col, words, bands, rows, key_col), folder, "signed")
     nodes = stored(signed.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("buckets").alias("buckets")), folder, "nodes")
     member = nodes.select("node", "n", F.posexplode("buckets").alias("band", "bucket"))
     crowd = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -320,8 +310,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = stored(link_blocks(block_pairs(member.where(some), label), sets, percent), folder, f"links-{k}")
         links = links.unionByName(found)
         label = components(links, folder, f"cc-{k}")
+    return signed, nodes.select("node", "least").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
 
-    named = nodes.select("node", "least").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
+    """One row per document: id, n_shingles, component_id and kept.
+
+    Documents are linked if their sets of `words`-word shingles (A-Z lower-cased) have a Jaccard similarity of at least
+    percent/100; component_id is the smallest id reachable, and kept is id = component_id.  At the default bands a pair
+    at 0.8 is missed with a chance of 7e-6, and links of a group support each other.
+
+    Texts of fewer words have one shingle, the whole sequence.  Null, empty or wordless texts have none and stand alone.
+    Documents of null id join their component but are never kept, and if a component has no other, its component_id
+    is null.  Rows that repeat an id get a row each.
+    """
+    signed, named = linked(docs, new_folder(docs.sparkSession, "near"), id_col, text_col, words, percent, bands, rows)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("node", "component_id")
     out = signed.select("id", "n", "node").join(named, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
@@ -329,10 +332,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group: that of the smallest id.  Documents of null id go only if another is kept."""
-    found = near_duplicates(docs, id_col, text_col, words, percent)
-    gone = found.where(~F.col("kept") & F.col("component_id").isNotNull()).select(F.col(id_col).alias("gone_id")).where("gone_id is not null")
-    return docs.join(gone.distinct(), col(id_col) == F.col("gone_id"), "left_anti")
+    """docs with one row of each group: one of the smallest id.  Rows of null id go if another row is kept.
+
+    Rows are told apart by a key that is written with them, so repeated rows go but for one, and a row goes for its own
+    text, whatever others have its id.  Rows without words stay.
+    """
+    folder, key = new_folder(docs.sparkSession, "near"), "near_key"
+    while key in (c.lower() for c in docs.columns):
+        key += "_"
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), folder, "rows")
+    signed, named = linked(keyed, folder, id_col, text_col, words, percent, key_col=key)
+    rows = signed.where("node is not null").select("node", "key", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("row"))
+    best = rows.groupBy("node").agg(F.min("row").alias("row")).join(named, "node").groupBy("root").agg(F.min("row").alias("row"))
+    gone = rows.select("key").join(best.select(F.col("row.key").alias("key")), "key", "left_anti").withColumnRenamed("key", "gone_key")
+    return keyed.join(gone, col(key) == F.col("gone_key"), "left_anti").drop(key)
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -190,6 +190,16 @@ def test_near_duplicates(spark, words):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_rows_of_near_duplicates_go_by_row(spark):
+    """Null ids, an id with two texts, and repeated rows."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (None, a), (3, c), (3, c), (None, "n " * 9), (None, "n " * 9), (4, ""), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = near_dedup.drop_near_duplicates(df)
+    assert found.columns == df.columns
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [(1, a), (2, b), (3, c), (None, "n " * 9), (4, ""), (4, "")]))
+
+
 def test_block_comparison_counts():
     rng = np.random.default_rng(1)
     a, b = ([np.unique(rng.integers(0, 60, 30)).astype(np.uint64) for _ in range(n)] for n in (5, 7))
