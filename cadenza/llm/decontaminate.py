@@ -237,7 +237,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             hits.append(total[first[1:]] - total[first[:-1]])
             one, other, by_row = K.spans(hit, first)
             for r in range(b - a):
-                found.append(sorted(set(named[r])) if len(parts) > 1 else named[r])
+                found.append(sorted(set(named[r])))
                 spans.append([{"start": int(one[j] - first[r]), "end": int(other[j] - first[r]), "byte_start": int(s[one[j]] - at[r]), "byte_end": int(e[other[j] - 1] - at[r])} for j in range(by_row[r], by_row[r + 1])])
         join = lambda x: np.concatenate(x).astype(np.int64)
         span = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "byte_start", "byte_end")]))

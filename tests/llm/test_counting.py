@@ -257,6 +257,13 @@ def test_odd_tables(spark, case):
         assert "a.b" in quality.quality_rules(df).columns
 
 
+@pytest.mark.parametrize("block", [1, 20_000])
+def test_repeated_items_count_once(spark, block):
+    bench = spark.createDataFrame([(7, "w1 w2"), (7, "w1 w2"), (7, "w3 w4"), (8, "w3 w4")], "item_id long, text string")
+    found = decontaminate.find_windows(documents(spark, ["w1 w2 w3 w4", "w1 w2"]), bench, block_items=block)
+    assert {r.doc_id: r["items"] for r in found.collect()} == {0: ["7", "8"], 1: ["7"]}
+
+
 def test_digest(spark):
     row = line_dedup.dedup_lines(documents(spark, ["b"])).select(F.sha2("text", 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"b").hexdigest()
