@@ -2,6 +2,7 @@
 
 `events` stands in for recordings: a piece is a user, a frame an event in order of (ts, event_id).  The beat score is
 floor(value / 20) - 1 and the downbeat score floor(value two frames back / 20) - 3.  Chunks run over all events as one piece.
+Clicks are rendered at 2,205 Hz, not at MIX_RATE.
 """
 
 from __future__ import annotations
