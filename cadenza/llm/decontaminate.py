@@ -18,6 +18,8 @@ file by file; so neither the driver nor a task holds more than one file of windo
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .frames import col, extend
+from .frames import col, extend, spread
 from .shared import mapped, new_folder, write
 
 SAMPLE = 8
@@ -163,7 +165,7 @@ def write_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int,
         for a, b, at, data in K.blocks(table["t"].combine_chunks()):
             low = K.lower(data)
             s, e, first = K.spans(K.ALNUM[low], at)
-            words.append(K.span_hash(K.prefix(low), s, e))
+            words.append(K.span_hash(low, s, e))
             for r in range(b - a):
                 m = int(first[r + 1] - first[r])
                 if m:
@@ -180,7 +182,7 @@ def write_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int,
         order = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        text = "\n".join(names[i] for i in order).encode()
+        text = json.dumps([names[i] for i in order]).encode()
         write(f"{folder}/{k}", {"vocab": vocab, "symbols": (symbols + 1).astype(np.int64), "start": join(starts), "size": join(sizes), "owner": place[join(owner)], "names": np.frombuffer(text, np.uint8)})
         return pa.table({"k": pa.array([k], pa.int32())})
 
@@ -193,7 +195,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """docs with n_words, n_hit, items (ids as strings, sorted) and spans (merged [start, end) word and byte ranges).
 
     A document word is hit if an occurrence of a window covers it.  Null or empty texts have no words and no hits.
-    Items without words and items whose id is null are left out; repeated items count once; an empty benchmark hits
+    Items without words and items whose id is null are left out; repeated items count once, whatever characters their ids hold; an empty benchmark hits
     nothing.  Columns named like the new ones are replaced.
     """
     folder, files, made = write_windows(benchmark, item_col, item_text_col, window, block_items)
@@ -205,7 +207,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         for a, b, at, data in K.blocks(column, SHARD_BYTES):
             low = K.lower(data)
             s, e, first = K.spans(K.ALNUM[low], at)
-            h, row = K.span_hash(K.prefix(low), s, e), K.row_of(first)
+            h, row = K.span_hash(low, s, e), K.row_of(first)
             n = len(h)
             cover, named = np.zeros(n + 1, np.int64), [[] for _ in range(b - a)]
             for k in parts:
@@ -227,7 +229,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 doc = np.searchsorted(first[1:] + np.arange(1, b - a + 1), place, "right")
                 np.add.at(cover, place - doc, 1)
                 np.add.at(cover, place - doc + x["size"][which], -1)
-                names = bytes(x["names"]).decode().split("\n")
+                names = json.loads(bytes(x["names"]))
                 pair = np.unique(doc * len(names) + x["owner"][which])
                 for p in pair.tolist():
                     named[p // len(names)].append(names[p % len(names)])
@@ -263,7 +265,7 @@ def cut_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text")
     out = find_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 

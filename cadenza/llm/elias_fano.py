@@ -31,16 +31,23 @@ def field(words: np.ndarray, bits: int, i: np.ndarray) -> np.ndarray:
     return (low | high) & np.uint64((1 << bits) - 1)
 
 
+_L8, _H8 = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_IN_BYTE = np.zeros((256, 8), np.uint8)
+for _b in range(256):
+    for _k, _p in enumerate(p for p in range(8) if _b >> p & 1):
+        _IN_BYTE[_b, _k] = _p
+_IN_BYTE = _IN_BYTE.ravel()
+
+
 def select_in_word(w: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The place of the k-th set bit (from 0) of each word."""
-    place, k = np.zeros(len(w), np.int64), k.astype(np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(w & np.uint64((1 << half) - 1)).astype(np.int64)
-        up = k >= below
-        k = np.where(up, k - below, k)
-        place += np.where(up, half, 0)
-        w = np.where(up, w >> np.uint64(half), w)
-    return place
+    """The place of the k-th set bit (from 0) of each word: by byte sums in all bytes at once, then a table of bytes."""
+    k = k.astype(np.uint64)
+    s = w - ((w >> ONE) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _L8  # bits in each byte and all below
+    place = np.bitwise_count(((k * _L8 | _H8) - s) & _H8).astype(np.uint64) << np.uint64(3)  # bytes whose sums are not over k
+    k -= ((s << np.uint64(8)) >> place) & np.uint64(0xFF)
+    return (place + _IN_BYTE[(((w >> place) & np.uint64(0xFF)) << np.uint64(3)) + k]).astype(np.int64)
 
 
 class EliasFano:
@@ -78,18 +85,40 @@ class EliasFano:
         w = self.high[word]
         return word * 64 + select_in_word(~w if flip else w, k - ranks[word].astype(np.int64))
 
+    def _next(self, place: np.ndarray, flip: bool, ranks: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th bit, given that of the one before: mostly in the same word."""
+        word, bit = place >> 6, (place & 63).astype(np.uint64)
+        w = self.high[word]
+        w = (~w if flip else w) >> bit >> ONE  # two shifts: one by 64 is undefined
+        out = place + 1 + np.bitwise_count((w & (~w + ONE)) - ONE).astype(np.int64)
+        far = np.flatnonzero(w == 0)
+        if len(far):
+            out[far] = self._select(ranks, flip, k[far])
+        return out
+
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Elements i and i + 1."""
+        a = self._select(self.ones, False, i)
+        b = self._next(a, False, self.ones, i + 1)
+        bits = np.uint64(self.bits)
+        return ((a - i).astype(np.uint64) << bits) | field(self.low, self.bits, i), ((b - i - 1).astype(np.uint64) << bits) | field(self.low, self.bits, i + 1)
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """Elements by index."""
         upper = self._select(self.ones, False, i) - i
         return (upper.astype(np.uint64) << np.uint64(self.bits)) | field(self.low, self.bits, i)
 
-    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first element not below x, whether it equals x); x must be below the bound."""
+    def successor(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first element not below x, whether it equals x), in [first, last) if given; x must be below the bound."""
         upper = (x >> np.uint64(self.bits)).astype(np.int64)
         low = x & np.uint64((1 << self.bits) - 1)
-        start = np.where(upper > 0, self._select(self.zeros, True, np.maximum(upper - 1, 0)) + 1 - upper, 0)
-        end = self._select(self.zeros, True, upper) - upper
-        lo, hi = start, end.copy()
+        before = self._select(self.zeros, True, np.maximum(upper - 1, 0))  # the 0 that ends the bucket before
+        start = np.where(upper > 0, before + 1 - upper, 0)
+        end = np.where(upper > 0, self._next(before, True, self.zeros, upper), before) - upper
+        if first is not None:
+            start, end = np.maximum(start, first), np.minimum(end, last)
+        lo, hi = start, np.maximum(end, start)
+        end = hi.copy()
         while True:  # binary search in the bucket
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):

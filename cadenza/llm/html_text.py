@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import col, range_bounds
+from .frames import col, range_bounds, range_count, spread
 from .url_rules import host_of, path_of
 
 MAIN, CHROME, OTHER = 2, 0, 1
@@ -256,7 +256,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     compared with the nearest page that differs, and a page whose host has no other content keeps all but its chrome.
     Columns named text or n_chars are replaced.
     """
-    n = buckets or 2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or range_count(pages, F.octet_length(col(html_col)))
     kept = [f for f in pages.schema.fields if f.name.lower() not in ("text", "n_chars") and f.name != html_col]
     key = F.concat(host_of(col(url_col)), F.lit("\x01"), path_of(col(url_col)), F.lit("\x01"), F.hex(F.xxhash64(col(id_col), col(url_col))))
     bounds = range_bounds(pages.select(key.alias("k")), n)
@@ -360,5 +360,5 @@ def hash_line(line: str) -> int:
 
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), "html")
     return extract_text(pages)

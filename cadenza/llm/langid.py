@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .frames import binary, col, extend
+from .frames import binary, col, extend, spread
 
 DIMS = 4096
 #: Families of common languages; a language that is not here is a family of its own.
@@ -186,6 +186,6 @@ def identify(docs: DataFrame, known: DataFrame, text_col: str = "text", lang_col
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     from .toxicity import held_out
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), "text")
     known = docs.where(~held_out("doc_id", 4, 2))
     return identify(docs.select("doc_id", "text"), known).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")

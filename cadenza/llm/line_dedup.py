@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .frames import binary, col, extend, ids, joined, shard_count, text_bytes, top_shard
+from .frames import binary, col, extend, ids, joined, shard_count, spread, top_shard
 from .shared import mapped, new_folder, write
 
 GAMMA = 2.0
 FLUSH = 1 << 20
+SHARD = 128 << 20  # bytes of texts: some million lines
 LEVELS = 40
 
 
@@ -96,7 +97,7 @@ def line_keys(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     s, e = start.copy(), start.copy()
     s[some], e[some] = solid[i[some]], solid[j[some] - 1] + 1
     points = K.code_points(data)
-    return start, end, first, K.span_hash(K.prefix(K.lower(data)), s, e), points[e] - points[s]
+    return start, end, first, K.span_hash(K.lower(data), s, e), points[e] - points[s]
 
 
 def condensed(held: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +121,7 @@ def condensed(held: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.
 def build_index(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> tuple[str, int]:
     """Write the shards; returns their folder and number."""
     spark = docs.sparkSession
-    n = shard_count(text_bytes(docs, text_col))
+    n = shard_count(docs, text_col, SHARD)
     folder = new_folder(spark, "lines")
 
     def pack(batches):
@@ -174,7 +175,7 @@ def lookup(folder: str, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut = np.searchsorted(top_shard(h[order], n), np.arange(n + 1))
     for k in np.flatnonzero(np.diff(cut)):
         at = order[cut[k] : cut[k + 1]]
-        x, meta = mapped(f"{folder}/{k}")
+        x, meta = mapped(f"{folder}/{k}")  # every shard is there: the keys asked for are those that built them
         i = probe_mph(x, meta["sizes"], h[at])
         known = i >= 0
         known[known] = x["prints"][i[known]] == (h[at][known] & np.uint64(0xFFFF)).astype(np.uint16)
@@ -229,7 +230,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text")
     out = dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import col
+from .frames import col, spread
 from .graph import stored
 from .shared import new_folder
 
@@ -103,7 +103,7 @@ def mix_sources(
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"), "text")
     marks = stored(measure(docs).drop("text"), new_folder(spark, "marks"), "marks")  # the texts are read once
     return mix_sources(marks, measured=True).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 

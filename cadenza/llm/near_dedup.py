@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .frames import binary, col, joined, shard_count, text_bytes, top_shard
+from .frames import binary, col, every_shard, joined, shard_count, spread, top_shard
 from .graph import components, stored
 from .shared import mapped, new_folder, write
 
@@ -59,7 +59,7 @@ def shingle_sets(at: np.ndarray, data: np.ndarray, words: int) -> tuple[np.ndarr
     """Distinct shingle hashes of each row, sorted, with the index of each row's first (rows + 1)."""
     low = K.lower(data)
     s, e, first = K.spans(K.WORD[low], at)
-    h = K.span_hash(K.prefix(low), s, e)
+    h = K.span_hash(low, s, e)
     g = K.grams(h, words)
     n = np.diff(first)
     count = np.where(n >= words, n - words + 1, (n > 0).astype(np.int64))
@@ -147,10 +147,7 @@ def key_files(keys: DataFrame, folder: str, name: str, shards: int) -> str:
         write(f"{uri}-{table['shard'][0].as_py()}", {"h": h})
         return pa.table({"shard": table["shard"][:1]})
 
-    made = keys.mapInArrow(pack, "shard int, h binary").groupBy("shard").applyInArrow(keep, "shard int").collect()  # a number a shard
-    there = {r.shard for r in made}
-    for k in set(range(shards)) - there:
-        write(f"{uri}-{k}", {"h": np.zeros(0, np.uint64)})
+    every_shard(keys.mapInArrow(pack, "shard int, h binary"), shards).groupBy("shard").applyInArrow(keep, "shard int").count()
     return uri
 
 
@@ -168,7 +165,7 @@ def among(uri: str, shards: int, keys: np.ndarray) -> np.ndarray:
 
 def write_sets(docs: DataFrame, need: DataFrame, text_col: str, words: int, folder: str) -> Sets:
     """Write the sets of the nodes in `need` (a table of keys): one more pass over the texts."""
-    shards = shard_count(text_bytes(docs, text_col))
+    shards = shard_count(docs, text_col)
     uri, out = key_files(need, folder, "need", shards), f"{folder}/sets"
 
     def cut_out(batches):
@@ -349,7 +346,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text")
     return near_duplicates(docs, words=4)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .frames import binary, col, extend, joined, shard_count, text_bytes, top_shard
+from .frames import binary, col, every_shard, extend, joined, shard_count, spread, top_shard
 from .line_dedup import line_keys, lines
 from .shared import mapped, new_folder, write
 
@@ -28,13 +28,14 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _HOST = np.uint64(0x51ED270B6C8F3A91)
 FLUSH = 1 << 20
+SHARD = 128 << 20  # bytes of texts: some million lines
 
 
 def host_hash(column: pa.Array) -> np.ndarray:
     """A hash of each host; null is a host of its own."""
     out = []
     for _, _, at, data in K.blocks(column.cast(pa.string())):
-        out.append(K.span_hash(K.prefix(data), at[:-1], at[1:]))
+        out.append(K.span_hash(data, at[:-1], at[1:]))
     h = np.concatenate(out) if out else np.zeros(0, np.uint64)
     return np.where(np.asarray(column.is_null()), np.uint64(7), h)
 
@@ -52,7 +53,7 @@ def summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def count_lines(docs: DataFrame, text_col: str, host_col: str, least: int) -> tuple[str, int]:
     """Write, by shard, the lines under a host that more than `least` distinct documents hold, and the hosts' totals."""
-    n = shard_count(text_bytes(docs, text_col))
+    n = shard_count(docs, text_col, SHARD)
     folder = new_folder(docs.sparkSession, "host-lines")
 
     def pack(batches):
@@ -63,7 +64,7 @@ def count_lines(docs: DataFrame, text_col: str, host_col: str, least: int) -> tu
                 row = K.row_of(first)[size > 0]
                 row, h = K.unique_in_rows(row, under_host(h[size > 0], host[a:b][row]))
                 cut = np.searchsorted(row, np.arange(b - a + 1))
-                text = under_host(K.span_hash(K.prefix(data), at[:-1], at[1:]), host[a:b])
+                text = under_host(K.span_hash(data, at[:-1], at[1:]), host[a:b])
                 total = under_host(np.full(b - a, _HOST), host[a:b])
                 yield pa.RecordBatch.from_arrays([pa.array(text.view(np.int64)), binary([np.append(h[cut[i] : cut[i + 1]], total[i]) for i in range(b - a)])], ["text", "lines"])
 
@@ -90,27 +91,22 @@ def count_lines(docs: DataFrame, text_col: str, host_col: str, least: int) -> tu
         h, c = summed(joined(table["h"], np.uint64), joined(table["c"], np.int64))
         often = c > least
         write(f"{folder}/{shard}", {"h": h[often], "c": c[often]})
-        return pa.table({"k": pa.array([int(often.sum())], pa.int64())})
+        return pa.table({"k": pa.array([shard], pa.int32())})
 
     rows = docs.select(col(text_col).alias("t"), col(host_col).cast("string").alias("s")).mapInArrow(pack, "text long, lines binary")
     once = rows.groupBy("text").agg(F.min("lines").alias("lines")).select("lines")
-    done = once.mapInArrow(count, "shard int, h binary, c binary").groupBy("shard").applyInArrow(keep, "k long").agg(F.count("*"), F.sum("k")).first()
-    return folder, n if done[0] else 0
+    every_shard(once.mapInArrow(count, "shard int, h binary, c binary"), n).groupBy("shard").applyInArrow(keep, "k int").count()
+    return folder, n
 
 
 def lookup(folder: str, n: int, h: np.ndarray) -> np.ndarray:
     """Counts of line hashes; 0 for those that passed no limit."""
     out = np.zeros(len(h), np.int64)
-    if not n:
-        return out
     order = np.argsort(h)
     cut = np.searchsorted(top_shard(h[order], n), np.arange(n + 1))
     for k in np.flatnonzero(np.diff(cut)):
         at = order[cut[k] : cut[k + 1]]
-        try:
-            x, _ = mapped(f"{folder}/{k}")
-        except FileNotFoundError:  # no line of the corpus fell into this shard
-            continue
+        x, _ = mapped(f"{folder}/{k}")
         if len(x["h"]):
             i = np.minimum(np.searchsorted(x["h"], h[at]), len(x["h"]) - 1)
             out[at] = np.where(x["h"][i] == h[at], x["c"][i], 0)
@@ -122,7 +118,7 @@ def measures(at: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     n = len(at) - 1
     s, e, first = K.spans(K.WORD[data], at)
     row = K.row_of(first)
-    h = K.span_hash(K.prefix(data), s, e)
+    h = K.span_hash(data, s, e)
     points = K.code_points(data)
     total = lambda x, by: np.bincount(by, x, n).astype(np.int64)
     symbols = np.append(0, np.cumsum(_SYMBOL[data]))
@@ -144,7 +140,7 @@ def measures(at: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     start, end, by = lines(at, data)
     of = K.row_of(by)
     some = np.searchsorted(s, end) > np.searchsorted(s, start)
-    of, lh = of[some], K.span_hash(K.prefix(data), start[some], end[some])
+    of, lh = of[some], K.span_hash(data, start[some], end[some])
     distinct, _ = K.unique_in_rows(of, lh)
     return {
         "n_words": np.diff(first).astype(np.int64), "word_chars": total(points[e] - points[s], row), "n_symbols": symbols[at[1:]] - symbols[at[:-1]],
@@ -204,7 +200,7 @@ def quality_rules(
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), "text")
     return quality_rules(docs).drop("text", "source")
 
 

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_lm_scoring": ngram.OP1_SQL,
     "op7_url_rules": url_rules.OP7_SQL,
     "op3_source_mixing": mixing.OP3_SQL,
     "op5_minhash_near_dedup": near_dedup.OP5_SQL,

@@ -4,28 +4,37 @@ The folder is the one that ``spark.checkpoint.dir`` names.  On a mounted share (
 or no scheme) the files are mapped in place.  In any other store they are read through
 ``pyarrow.fs`` once per Python worker into an anonymous map.  Each file is written under a
 temporary name and renamed, so a task that is run twice, or is lost half-way, leaves one
-whole file.
+whole file.  Results read these folders when they are computed, so the driver removes them as
+it ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import json
 import mmap
 import os
+import shutil
 import tempfile
 import uuid
-from functools import lru_cache
+from collections import OrderedDict
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 from pyspark.sql import SparkSession
 
 
+_made: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder; a local one is made only where the session names none (as in tests)."""
+    """The shared folder.  Where none is named, local mode makes one of its own and a cluster is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="cadenza-")
+        _made.append(base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -36,9 +45,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     uri = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if (path := local(uri)) is not None:
         os.makedirs(path, exist_ok=True)
+    _made.append(uri)
     return uri
 
 
+@atexit.register
+def remove_folders() -> None:
+    """Delete the folders that this driver has made."""
+    while _made:
+        uri = _made.pop()
+        if (path := local(uri)) is not None:
+            shutil.rmtree(path, ignore_errors=True)
+            continue
+        from pyarrow import fs
+
+        try:
+            store, path = fs.FileSystem.from_uri(uri)
+            store.delete_dir(path)
+        except OSError:  # gone already, or the store is
+            pass
+
+
 def local(uri: str) -> str | None:
     parts = urlparse(uri)
     return unquote(parts.path) if parts.scheme in ("", "file") else None
@@ -72,10 +99,28 @@ def write(uri: str, arrays: dict[str, np.ndarray], meta: dict | None = None) ->
         store.move(temp, path)
 
 
-@lru_cache(maxsize=4096)
+_held: OrderedDict = OrderedDict()  # uri: (arrays, meta, bytes of memory)
+HELD_FILES, HELD_BYTES = 4096, 256 << 20
+
+
 def mapped(uri: str) -> tuple[dict[str, np.ndarray], dict]:
-    """(arrays, meta) of a file, memory-mapped."""
-    path = local(uri)
+    """(arrays, meta) of a file, memory-mapped.
+
+    A worker keeps the files used last, at most HELD_FILES of them, and of those that had to be read HELD_BYTES.
+    """
+    if uri in _held:
+        _held.move_to_end(uri)
+        return _held[uri][:2]
+    arrays, meta, size = _open(uri)
+    _held[uri] = arrays, meta, size
+    total = sum(x[2] for x in _held.values()) if size else 0
+    while len(_held) > 1 and (len(_held) > HELD_FILES or total > HELD_BYTES):
+        total -= _held.popitem(last=False)[1][2]
+    return arrays, meta
+
+
+def _open(uri: str) -> tuple[dict[str, np.ndarray], dict, int]:
+    path, size = local(uri), 0
     if path is not None:
         with open(path, "rb") as f:
             data = mmap.mmap(f.fileno(), 0, prot=mmap.PROT_READ)
@@ -84,6 +129,7 @@ def mapped(uri: str) -> tuple[dict[str, np.ndarray], dict]:
 
         store, path = fs.FileSystem.from_uri(uri)
         data = store.open_input_file(path).read()
+        size = len(data)
     n = int(np.frombuffer(data, np.int64, 1)[0])
     head = json.loads(bytes(data[8 : 8 + n]))
-    return {k: np.frombuffer(data, np.dtype(t), count, 8 + n + at) for k, (t, at, count) in head["arrays"].items()}, head["meta"]
+    return {k: np.frombuffer(data, np.dtype(t), count, 8 + n + at) for k, (t, at, count) in head["arrays"].items()}, head["meta"], size

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .frames import binary, col, extend
+from .frames import binary, col, extend, spread
 
 STEMS = (4, 5, 6, 8)
 SEEDS = "idiot moron stupid loser trash scum pathetic worthless disgusting clown dumb fool jerk ugly filthy vermin imbecile cretin".split()
@@ -30,11 +30,11 @@ def features(at: np.ndarray, data: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     """(row, hash) of every word and of its beginnings; beginnings hash apart from words."""
     low = K.lower(data)
     s, e, first = K.spans(K.ALNUM[low], at)
-    row, sums = K.row_of(first), K.prefix(low)
-    out = [(row, K.span_hash(sums, s, e))]
+    row = K.row_of(first)
+    out = [(row, K.span_hash(low, s, e))]
     for n in STEMS:
         long = np.flatnonzero(e - s > n)
-        out.append((row[long], K.mix(K.span_hash(sums, s[long], s[long] + n) + np.uint64(n))))
+        out.append((row[long], K.mix(K.span_hash(low, s[long], s[long] + n) + np.uint64(n))))
     return out
 
 
@@ -160,7 +160,7 @@ def train(rows: list[np.ndarray], styles: np.ndarray, sizes: np.ndarray, labels:
 def _hashes(words: list[str]) -> np.ndarray:
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     s, e, _ = K.spans(K.ALNUM[data], np.array([0, len(data)]))
-    return K.span_hash(K.prefix(data), s, e)
+    return K.span_hash(data, s, e)
 
 
 def sample_labels(labels: DataFrame, id_col: str, label_col: str, max_toxic: int, max_clean: int) -> DataFrame:
@@ -229,6 +229,6 @@ def held_out(id_col: str, folds: int, fold: int):
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id", 3, 1))
     return score_toxicity(docs, labels).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")

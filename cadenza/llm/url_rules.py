@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import col, range_bounds
+from .frames import col, range_bounds, range_count
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,7 +45,7 @@ def match_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     part or an empty host are left out.  Repeated rows stay; columns of the new names are replaced.
     """
     spark = urls.sparkSession
-    n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or range_count(urls, F.lit(100) + F.coalesce(F.octet_length(col(url_col)), F.lit(0)))
     new = {"host", "path", "rule", "verdict"}
     kept = [f for f in urls.schema.fields if f.name.lower() not in new]
     rows = urls.select(host_of(col(url_col)).alias("_host"), path_of(col(url_col)).alias("_path"), F.struct(*[col(f.name) for f in kept]).alias("_row"))

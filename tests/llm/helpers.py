@@ -31,8 +31,15 @@ def corpus(seed=1, n=60, vocabulary=40, words=(0, 80)):
     return texts
 
 
+def thue_morse(n=512, letters="xy"):
+    """A string and its complement, which share a polynomial hash modulo 2**64 whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+_ONE, _OTHER = thue_morse()
 #: Texts that every operator must take.
-ODD = [None, "", " ", "\n\n", "a", "Ünï çödé 漢字 عربى", "x" * 50_000, "word " * 5_000, "\x00\x01", "tie tie tie", "tie tie tie"]
+ODD = [None, "", " ", "\n\n", "a", "Ünï çödé 漢字 عربى", "x" * 50_000, "word " * 5_000, "\x00\x01", "tie tie tie", "tie tie tie", _ONE, _ONE, _OTHER]
 
 
 def documents(spark, texts, extra=False):

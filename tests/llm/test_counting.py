@@ -93,7 +93,7 @@ def test_quality_rules(spark, least, share):
     assert {r.doc_id: tuple(r[c] for c in names) for r in found} == want
 
 
-BENCH = ["one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen", "short item", "", None, "short item", "tie tie tie", "w1 w2 w4"]
+BENCH = ["one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen", "short item", "", None, "short item", "tie tie tie", "w1 w2 w4", ODD[-2]]
 
 
 def plain_windows(texts, items, window=13):
@@ -238,6 +238,16 @@ def test_elias_fano():
         x = np.concatenate([values, rng.integers(0, min(bound, 1 << 63), 50).astype(np.uint64)])
         at, hit = ef.successor(x)
         assert (at == np.searchsorted(values, x)).all() and (hit == np.isin(x, values)).all()
+        if n > 1:
+            i = rng.integers(0, n - 1, 400)
+            a, b = ef.pair(i)
+            assert (a == values[i]).all() and (b == values[i + 1]).all()
+            first = rng.integers(0, n, len(x))
+            last = first + rng.integers(0, n - first + 1)
+            at, hit = ef.successor(x, first, last)
+            for k in range(len(x)):
+                part = values[first[k] : last[k]]
+                assert hit[k] == (x[k] in part) and (not hit[k] or values[at[k]] == x[k] and first[k] <= at[k] < last[k])
 
 
 @pytest.mark.parametrize("case", ["empty", "clash"])
@@ -257,6 +267,15 @@ def test_odd_tables(spark, case):
         assert "a.b" in quality.quality_rules(df).columns
 
 
+@pytest.mark.parametrize("block", [1, 2, 20_000])
+def test_item_ids_of_any_characters(spark, block):
+    items = [("a\nb", "w1 w2"), ("a\nb", "w1 w2"), ("a", "w3 w4"), ("b", "w5"), ('q","', "w3 w4"), ("", "w1 w2"), (None, "w1"), ("é,\u2028", "w5")]
+    texts = ["w1 w2 w3 w4", "w1 w2", "w5 w5", "none"]
+    found = decontaminate.find_windows(documents(spark, texts), spark.createDataFrame(items, "item_id string, text string"), block_items=block)
+    want = plain_windows(texts, [x for x in items if x[0] is not None])
+    assert {r.doc_id: ",".join(r["items"]) for r in found.collect()} == {d: v[2] for d, v in want.items()}
+
+
 @pytest.mark.parametrize("block", [1, 20_000])
 def test_repeated_items_count_once(spark, block):
     bench = spark.createDataFrame([(7, "w1 w2"), (7, "w1 w2"), (7, "w3 w4"), (8, "w3 w4")], "item_id long, text string")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import html_text, langid, mixing, ngram, toxicity, url_rules
+from cadenza.llm import html_text, langid, mixing, ngram, textkit, toxicity, url_rules
 
 from .helpers import ODD, WORD, corpus, documents, lower
 
@@ -18,46 +18,80 @@ def tokens(t):
     return [*WORD.findall(lower(t)), None]
 
 
-@pytest.mark.parametrize("empty", [False, True])
-def test_language_model(spark, empty):
-    texts = ODD + corpus(2, 80, 300)
-    df = documents(spark, texts)
-    train = df.where(F.lit(not empty) & (F.col("doc_id") % 3 > 0))
-    found = {r.doc_id: r for r in ngram.score_texts(df, train).collect()}
-    c, pairs, after = Counter(), Counter(), defaultdict(set)
-    for i, t in enumerate(texts):
-        if not empty and i % 3:
+class PlainModel:
+    """Interpolated absolute discounting over a dict of counts, each part coded as the trie codes it."""
+
+    def __init__(self, texts, order):
+        self.c, self.after, self.order = Counter(), defaultdict(Counter), order
+        for t in texts:
             w = tokens(t)
-            c.update(w)
-            pairs.update(zip(w, w[1:]))
-            for a, b in zip(w, w[1:]):
-                after[a].add(b)
-    n, v, once = sum(c.values()), len(c), sum(x == 1 for x in c.values())
-    unknown = (once + 1) / (n + once + 1)
+            self.c.update(w)
+            for m in range(2, order + 1):
+                for i in range(len(w) - m + 1):
+                    self.after[tuple(w[i : i + m - 1])][w[i + m - 1]] += 1
+        self.n, once = sum(self.c.values()), sum(x == 1 for x in self.c.values())
+        self.unknown = (once + 1) / (self.n + once + 1)
+        self.coded = lambda p: float(ngram.LEVELS[ngram.quantise(np.array([p]))[0]])
+
+    def p(self, context, w):
+        p = self.coded((1 - self.unknown) * self.c[w] / self.n) if self.c[w] else self.unknown
+        for m in range(1, self.order):
+            seen = self.after.get(tuple(context[len(context) - m :])) if m <= len(context) else None
+            if not seen:
+                break
+            total = sum(seen.values())
+            p = (self.coded((seen[w] - ngram.DISCOUNT) / total) if seen[w] else 0) + self.coded(ngram.DISCOUNT * len(seen) / total) * p
+        return min(p, 1.0)
+
+    def score(self, t):
+        w = tokens(t)
+        return sum(math.log10(self.p(w[max(0, k - self.order + 1) : k], x)) for k, x in enumerate(w))
+
+
+@pytest.mark.parametrize("order,vocabulary", [(2, 300), (3, 300), (3, 20), (4, 60), (3, 0)])
+def test_language_model(spark, order, vocabulary):
+    """Hot words, hot pairs and cold ones (20 words make all hot), against plain counts; with nothing to learn from, too."""
+    texts = ODD + corpus(2, 80, vocabulary or 9)
+    df = documents(spark, texts)
+    train = df.where(F.lit(vocabulary > 0) & (F.col("doc_id") % 3 > 0))
+    found = {r.doc_id: r for r in ngram.score_texts(df, train, order=order).collect()}
+    model = PlainModel([t for i, t in enumerate(texts) if i % 3] if vocabulary else [], order)
     for i, t in enumerate(texts):
         w, r = tokens(t), found[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel=1e-9, abs=1e-9)
-        want = 0.0
-        for k, x in enumerate(w):
-            p = (1 - unknown) * c[x] / n if c[x] else unknown
-            if k and c[w[k - 1]]:
-                a = w[k - 1]
-                p = max(pairs[a, x] - ngram.DISCOUNT, 0) / c[a] + ngram.DISCOUNT * len(after[a]) / c[a] * p
-            want += math.log10(p)
-        assert r.score == pytest.approx(want, abs=0.03 * len(w))  # codes are 0.02 from the truth at most
-
-
-def test_model_is_a_distribution(spark):
-    """The probabilities of all words after a context sum to one, up to the codes."""
-    texts = ["a b c a b d", "a c", "b a", "e"] * 3
-    df = documents(spark, texts)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(model.c[x] > 0 for x in w), model.n)
+        assert r.base_score == pytest.approx(sum(math.log10((model.c[x] + 1) / (model.n + len(model.c) + 1)) for x in w), rel=1e-9, abs=1e-9)
+        assert r.score == pytest.approx(model.score(t) if model.n else 0, rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_model_is_a_distribution(spark, order):
+    """The probabilities of all tokens after a context sum to one, up to the codes (7 % each at most)."""
+    texts = ["a b c a b d", "a c", "b a", "e a b"] * 3
     words = ["a", "b", "c", "d", "e", "unseen"]
-    asked = spark.createDataFrame([(i, f"a {w}") for i, w in enumerate(words)] + [(9, "a")], "doc_id long, text string")
-    whole = {r.text: r.score for r in ngram.score_texts(asked, df).collect()}
-    one = ngram.score_texts(spark.createDataFrame([(f"{w}",) for w in words] , "text string"), df)
-    assert one.count() == 6
-    assert len(whole) == 7 and all(s < 0 for s in whole.values())
+    contexts = ["", "a", "a b", "c a", "e", "d b", "unseen"]
+    texts_of = [(c, f"{c} {w}".strip()) for c in contexts for w in words] + [(c, c) for c in contexts]
+    asked = spark.createDataFrame(texts_of, "c string, text string")
+    # p(w | c) = p(c w end) / (p(c) p(end | c w)): asked for by scores of texts that end after w, less what follows
+    model = PlainModel(texts, order)
+    got = {r.text: r.score for r in ngram.score_texts(asked, documents(spark, texts), order=order).collect()}
+    for c in contexts:
+        head = c.split()
+        end = lambda w: math.log10(model.p(w[-(order - 1) :], None))
+        before = got[c] - end(head)
+        total = 10 ** end(head) + sum(10 ** (got[f"{c} {w}".strip()] - before - end([*head, w])) for w in words)
+        assert total == pytest.approx(1, abs=0.08), c
+
+
+def test_collisions_of_polynomials():
+    """Two strings (Thue and Morse's) that share every polynomial hash modulo 2**64."""
+    same, one, other = ODD[-3:]
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    a, b = textkit.span_hash(data, np.array([0, 512]), np.array([512, 1024])).tolist()
+    assert len(one) == len(other) == 512 and one == same and a != b
+    words = sorted({f"{x}{k}"[:n] for x in "ab\0" for k in range(3000) for n in range(9)})
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    end = np.cumsum([len(w.encode()) for w in words])
+    assert len(np.unique(textkit.span_hash(data, np.append(0, end[:-1]), end))) == len(words)
 
 
 def toxic_corpus(n, seed):
