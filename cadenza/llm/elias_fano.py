@@ -103,10 +103,45 @@ class EliasFano:
         bits = np.uint64(self.bits)
         return ((a - i).astype(np.uint64) << bits) | field(self.low, self.bits, i), ((b - i - 1).astype(np.uint64) << bits) | field(self.low, self.bits, i + 1)
 
+    def among(self, x: np.ndarray, first: np.ndarray, size: np.ndarray, before: np.ndarray, most: int) -> np.ndarray:
+        """Index of the element that equals x among the `size` from `first` on, -1 without; before: the place of the bit of
+        the element before first (-1 for the first of all).  Steps through the elements: for runs of at most `most`."""
+        out, left = np.full(len(x), -1, np.int64), np.flatnonzero(size > 0)
+        place, upper, low = before, x >> np.uint64(self.bits), x & np.uint64((1 << self.bits) - 1)
+        for j in range(most):
+            if not len(left):
+                break
+            at = first[left] + j
+            place = self._after(place if j else place[left], self.ones, at)
+            here = (place - at).astype(np.uint64)
+            hit = here == upper[left]
+            some = np.flatnonzero(hit)
+            hit[some] = field(self.low, self.bits, at[some]) == low[left[some]]
+            out[left[hit]] = at[hit]
+            go = ~hit & (size[left] > j + 1) & (here <= upper[left])
+            left, place = left[go], place[go]
+        return out
+
+    def _after(self, place: np.ndarray, ranks: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th 1, given that of the one before (-1 if there is none)."""
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return self._next(place, False, ranks, k)
+        out = self._next(np.maximum(place, 0), False, ranks, k)
+        out[new] = self._select(ranks, False, k[new])
+        return out
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """Elements by index."""
-        upper = self._select(self.ones, False, i) - i
-        return (upper.astype(np.uint64) << np.uint64(self.bits)) | field(self.low, self.bits, i)
+        return self.value(self.place(i), i)
+
+    def place(self, i: np.ndarray) -> np.ndarray:
+        """Where the upper parts of elements end."""
+        return self._select(self.ones, False, i)
+
+    def value(self, place: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Elements, given their places."""
+        return ((place - i).astype(np.uint64) << np.uint64(self.bits)) | field(self.low, self.bits, i)
 
     def successor(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first element not below x, whether it equals x), in [first, last) if given; x must be below the bound."""

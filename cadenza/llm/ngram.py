@@ -41,6 +41,7 @@ FLUSH = 1 << 20
 BLOCK = 4 << 20
 CODES = 255
 DEPTH = 14.0  # the codes cover 10**-DEPTH to 1
+SHORT = 4  # children that a lookup steps through
 NONE = -1  # the place of a word in an n-gram that is shorter
 
 
@@ -75,7 +76,7 @@ def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def by_shard(shard: np.ndarray, n: int):
     """(shard, places) of every shard that occurs; places in order."""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if n <= 1 << 16 else shard, kind="stable")
     cut = np.searchsorted(shard[order], np.arange(n + 1)) if n <= len(shard) else None
     if cut is None:
         some, start = np.unique(shard[order], return_index=True)
@@ -219,6 +220,19 @@ def unpack(cells: pa.ChunkedArray, sizes: pa.ChunkedArray, columns: int) -> list
 
 def distinct_grams(grams: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct n-grams in order, with their summed counts."""
+    first, local = np.unique(grams[0], return_inverse=True)
+    places = [local, *(g + 1 for g in grams[1:])]
+    bits = [int(p.max(initial=0)).bit_length() for p in places]
+    if sum(bits) <= 64:  # one sort of packed keys
+        key = np.zeros(len(count), np.uint64)
+        for p, b in zip(places, bits):
+            key = (key << np.uint64(b)) | p.astype(np.uint64)
+        key, count = summed(key, count)
+        out = []
+        for b in reversed(bits):
+            out.append((key & np.uint64((1 << b) - 1)).astype(np.int64) - 1)
+            key = key >> np.uint64(b)
+        return [first[out[-1] + 1], *reversed(out[:-1])], count
     one, which = groups(context_key(grams))
     count = np.bincount(which, count, len(one)).astype(np.int64)
     order = np.lexsort([g[one] for g in reversed(grams)])
@@ -378,12 +392,15 @@ def step_down(x: dict[str, np.ndarray], m: int, node: np.ndarray, word: np.ndarr
     if not len(at) or not nxt.n:
         return out
     first, last = (v.astype(np.int64) for v in EliasFano.of(x, f"pointers{m}").pair(node[at]))
-    base = np.where(first > 0, nxt.get(np.maximum(first - 1, 0)), np.uint64(0))  # what the run's values are relative to
-    top = nxt.get(np.array([nxt.n - 1]))[0]
+    before = nxt.place(np.maximum(first - 1, 0))
+    base = np.where(first > 0, nxt.value(before, np.maximum(first - 1, 0)), np.uint64(0))  # what the run's values are relative to
     target = base + word[at].astype(np.uint64)
-    inside = np.flatnonzero((first < last) & (target <= top))
-    i, hit = nxt.successor(target[inside], first[inside], last[inside])
-    out[at[inside[hit]]] = i[hit]
+    short = np.flatnonzero(last - first <= SHORT)
+    out[at[short]] = nxt.among(target[short], first[short], (last - first)[short], np.where(first > 0, before, -1)[short], SHORT)
+    top = nxt.get(np.array([nxt.n - 1]))[0]
+    long = np.flatnonzero((last - first > SHORT) & (target <= top))
+    i, hit = nxt.successor(target[long], first[long], last[long])
+    out[at[long[hit]]] = i[hit]
     return out
 
 
@@ -434,23 +451,27 @@ class Model:
             p[at] *= back[of]
             go = np.flatnonzero((rank[at] >= 0) & ((node[of] >= 0) | split[of]))
             at, of = at[go], of[go]
-            one, which = groups(K.mix(of.astype(np.uint64) + np.uint64(1)) ^ K.mix(~rank[at].astype(np.uint64)))
+            if m < self.order:
+                one, which = groups(K.mix(of.astype(np.uint64) + np.uint64(1)) ^ K.mix(~rank[at].astype(np.uint64)))
+            else:  # the longest are mostly distinct, and no contexts
+                one = which = np.arange(len(at))
             of = of[one]
             grams, warm = [g[of] for g in grams] + [rank[at[one]]], [x[of] for x in warm] + [hot[at[one]]]
             from_split, node_above, shard_above = split[of], node[of], shard[of]
             shard, split = route(grams, warm, n)
             node, found = np.full(len(one), -1, np.int64), np.zeros(len(one))
-            for k, here in by_shard(shard, n):
+            parents = np.where(from_split, -1, node_above)
+            order_ = np.argsort((shard.astype(np.uint64) << np.uint64(40)) + (parents + 1).astype(np.uint64))  # by shard, then parent
+            shards, start = np.unique(shard[order_], return_index=True)
+            for k, here in zip(shards.tolist(), np.split(order_, start[1:])):
                 x, _ = mapped(f"{self.folder}/grams-{k}")
-                parent = np.where(from_split[here], -1, node_above[here])
+                parent = parents[here]
                 far = np.flatnonzero(from_split[here])  # below a split context: the whole path is in this shard
                 if len(far):
                     walk = root_node(x, grams[0][here[far]])
                     for j in range(2, m):
                         walk = step_down(x, j, walk, grams[j - 1][here[far]])
                     parent[far] = walk
-                order_ = np.argsort(parent)
-                here, parent = here[order_], parent[order_]
                 node[here] = step_down(x, m, parent, grams[m - 1][here])
                 near = here[(node[here] >= 0) & ~from_split[here]]
                 found[near] = LEVELS[x[f"codes{m}"][node[near]]]
