@@ -1,20 +1,22 @@
 """Main text of web pages by nearest-URL differencing.
 
-Pages are sorted by host and URL path.  Of the nearest pages of the same host before and after it whose content differs,
-each is paired with the one whose path shares the longer beginning; their lines are aligned by a longest common
-subsequence, and shared lines are deleted.  Contents are equal if all lines but chrome are, so copies and one page under
-two query strings are no neighbours.
-
-Differencing alone can't be right where menus and adverts differ from page to page, or where two articles of a host
-quote the same line.  So each line also has a zone from the markup.  Lines in an article (or main) element are
-protected: the article is wanted whole.  Lines in elements that are chrome by tag, role or class (menus, footers,
-adverts, forms, comments ...) go whether shared or not.  All others stay only if the neighbour lacks them, beside an
-article too.
-
-A page's lines move once, to a range of (host, path) whose bounds come from a sample of fixed size with ties broken by
-id, so that a host with a third of all pages is spread out.  Where a page's neighbour lies in another range, a pass over
-keys and digests alone has found it before (four pages a range reach the driver), and its lines go to both ranges; so the
-text does not depend on the number of ranges.
+Pages are sorted by host and URL path.  Each is compared with the nearest pages of its host: the last `reach` before it and the
+first `reach` after it whose contents differ from its own, where pages of equal content that follow each other count as one.
+Contents are equal if all lines but chrome are, so copies and one page under two query strings are no neighbours.  The lines of
+a page and of each neighbour are aligned by a longest common subsequence, and shared lines are deleted by these rules, in which
+the markup is a prior:
+
+* a line outside of any article (or main) element goes if one neighbour shares it;
+* a line in an article goes if most of the neighbours, and two at least, share it: articles quote each other, but what
+  nearly all pages repeat is the site's.  A neighbour that shares over half of the article's lines is another version of the
+  page and says nothing about them;
+* a line in an element that is chrome by tag, role or class (menus, footers, adverts, forms, comments ...) goes before that,
+  for much of it differs from page to page.
+
+A page's lines move once, to a range of (host, path) whose bounds come from a sample with ties broken by id, so that a host
+with a third of all pages is spread out.  Where a page's neighbours lie in another range, a pass over keys and digests
+alone has found them before (2 * (reach + 1) pages a range reach the driver), and their lines go to both ranges; so the text
+does not depend on the number of ranges.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from __future__ import annotations
 import bisect
 import hashlib
 import html as _html
+import math
 import re
+from collections import deque
+from itertools import chain
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,7 +143,12 @@ def page_lines(source: str) -> list[tuple[int, str]]:
 
 
 def common_lines(a: list, b: list) -> set[int]:
-    """Indexes of a in a longest common subsequence with b (Hunt and Szymanski: by the increasing runs of matches)."""
+    """Indexes of a in a longest common subsequence with b.
+
+    By bit vectors: one big integer a line of a, a bit a line of b, so len(a) * len(b) / 64 steps of a machine word however often
+    lines repeat.  The vectors are kept for a stretch of a at a time and made again from its start, so memory
+    is near the square root of that.
+    """
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
         head += 1
@@ -147,43 +156,55 @@ def common_lines(a: list, b: list) -> set[int]:
     while tail < len(a) - head and tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     found = set(range(head)) | set(range(len(a) - tail, len(a)))
-    places: dict = {}
-    for j in range(head, len(b) - tail):
-        places.setdefault(b[j], []).append(j)
-    ends, chains = [], []  # smallest end of a common run of each length, and how to get there
-    for i in range(head, len(a) - tail):
-        for j in reversed(places.get(a[i], ())):
-            k = bisect.bisect_left(ends, j)
-            node = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(node)
-            else:
-                ends[k], chains[k] = j, node
-    node = chains[-1] if chains else None
-    while node:
-        found.add(node[0])
-        node = node[1]
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    masks: dict = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    rows = [i for i, x in enumerate(a) if x in masks]  # the others match nothing
+    if not rows:
+        return found
+    full = (1 << len(b)) - 1
+
+    def walk(v, some):
+        for i in some:
+            u = v & masks[a[i]]
+            v = (v + u | v - u) & full
+            yield v
+
+    step = math.isqrt(len(rows)) + 1
+    starts, v = [full], full
+    for k in range(0, len(rows), step):
+        for v in walk(v, rows[k : k + step]):
+            pass
+        starts.append(v)
+    j = len(b)
+    for k in range((len(rows) - 1) // step, -1, -1):  # back over the stretches
+        part = rows[k * step : (k + 1) * step]
+        vectors = [starts[k], *walk(starts[k], part)]
+        for r in range(len(part), 0, -1):
+            while j and vectors[r] >> (j - 1) & 1:  # the last line of b adds nothing here
+                j -= 1
+            if not j:
+                return found
+            if vectors[r - 1] >> (j - 1) & 1:  # nor did it a line earlier: a match
+                found.add(head + part[r - 1])
+                j -= 1
     return found
 
 
-def alike(a: str, b: str) -> int:
-    """Length of the common beginning of two paths."""
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def main_text(zones: list[int], lines: list[str], shared: set[int]) -> str:
-    """The lines that stay, joined."""
-    return "\n".join(line for i, (z, line) in enumerate(zip(zones, lines)) if z == MAIN or z == OTHER and i not in shared)
+def deleted(zones: list[int], lines: list[str], others: list[list[str]]) -> set[int]:
+    """Indexes of the lines (without chrome) that the alignments delete; others: the neighbours' lines."""
+    shared = [common_lines(lines, x) for x in others]
+    out = {i for s in shared for i in s if zones[i] == OTHER}
+    article = [i for i, z in enumerate(zones) if z == MAIN]
+    votes = [s for s in shared if 2 * sum(i in s for i in article) <= len(article)]
+    if len(votes) >= 2:
+        out |= {i for i in article if (n := sum(i in s for s in votes)) >= 2 and 2 * n > len(votes)}
+    return out
 
 
 def content_key(found: list[tuple[int, str]]) -> bytes:
-    """A digest of a page's lines and zones without its chrome."""
+    """A digest of a page's lines and zones, chrome left out."""
     h = hashlib.blake2b(digest_size=16)
     for z, x in found:
         if z != CHROME:
@@ -195,65 +216,73 @@ def host_part(key: str) -> str:
     return key.split("\x01", 1)[0]
 
 
-def range_ends(batches):
-    """Of each range: its first and last page, and the first and last of the same host that differ from these in content."""
-    names = ["bucket", *[f"{e}_{c}" for e in ("first", "second", "last", "other") for c in ("sort", "digest")]]
+def range_ends(batches, reach: int):
+    """The runs (pages of equal content, one of them standing for all) at both ends of each range.
+
+    Of the first host the first reach + 1 runs, of the last host the last, as (sort, digest) lists; alone: whether it is one host.
+    """
+    names = ["bucket", "first_sort", "first_digest", "last_sort", "last_digest", "alone"]
+    kinds = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.binary()), pa.bool_()]
+    bucket, first, last, alone = None, [], [], True
 
-    def row(bucket, *pages):
-        flat = [v for p in pages for v in p or (None, None)]
-        kinds = [pa.int32(), *[pa.string(), pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([bucket, *flat], kinds, strict=True)], names)
+    def row():
+        values = [bucket, [p[0] for p in first], [p[1] for p in first], [p[0] for p in last], [p[1] for p in last], alone]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
 
-    bucket = first = second = last = other = None
     for batch in batches:
         for k, *page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if k != bucket:
                 if bucket is not None:
-                    yield row(bucket, first, second, last, other)
-                bucket, first, second, last, other = k, page, None, page, None
+                    yield row()
+                bucket, first, last, alone = k, [page], [page], True
+                continue
+            if host_part(page[0]) != host_part(last[-1][0]):
+                last, alone = [page], False
+                continue
+            if page[1] == last[-1][1]:
+                last[-1] = page  # the run's last page stands for it from behind, its first from before
                 continue
-            if host_part(page[0]) != host_part(last[0]):
-                other = None
-            elif page[1] != last[1]:
-                other = last
-            if second is None and page[1] != first[1] and host_part(page[0]) == host_part(first[0]):
-                second = page
-            last = page
+            if alone and len(first) <= reach:
+                first.append(page)
+            last = [*last[-reach:], page]
     if bucket is not None:
-        yield row(bucket, first, second, last, other)
+        yield row()
 
 
-ENDS = "bucket int, " + ", ".join(f"{e}_sort string, {e}_digest binary" for e in ("first", "second", "last", "other"))
+ENDS = "bucket int, first_sort array<string>, first_digest array<binary>, last_sort array<string>, last_digest array<binary>, alone boolean"
 
 
-def guests(ends: list[tuple]) -> dict[tuple[str, bytes], list[tuple[int, int]]]:
+def guests(ends: list[tuple], reach: int) -> dict[tuple[str, bytes], list[tuple[int, int]]]:
     """Pages (key, digest) that another range needs, with that range and -1 if they come before it, 1 if after.
 
-    ends: (bucket, first, second, last, other) of range_ends, by bucket.
+    ends: (bucket, first runs, last runs, alone) of range_ends, by bucket.
     """
     out: dict = {}
 
     def walk(side, rows):
-        last = other = None  # of all ranges passed
-        for bucket, near, _, far, far_other in rows:
-            guest = None
-            if last and host_part(last[0]) == host_part(near[0]):
-                guest = last if last[1] != near[1] else other
-            if guest:
+        near = []  # the nearest runs of all ranges passed, the nearest last
+        for bucket, mine, far, alone in rows:  # mine: runs from the side that we come from, nearest first
+            if near and host_part(near[-1][0]) != host_part(mine[0][0]):
+                near = []
+            seen = near[:-1] if near and near[-1][1] == mine[0][1] else near  # a run may go on over the bound
+            for guest in seen[-reach:]:
                 out.setdefault(guest, []).append((bucket, side))
-            copies = host_part(near[0]) == host_part(far[0]) and far_other is None
-            last, other = far, guest if copies else far_other
+            if alone and len(mine) <= reach:
+                near = (seen + mine)[-reach - 1 :]
+                near[-1] = far[-1]
+            else:
+                near = far[-reach - 1 :]
 
     walk(-1, ends)
-    walk(1, [(k, last, other, first, second) for k, first, second, last, other in reversed(ends)])
+    walk(1, [(k, last[::-1], first[::-1], alone) for k, first, last, alone in reversed(ends)])
     return out
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", buckets: int | None = None) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", reach: int = 2, buckets: int | None = None) -> DataFrame:
     """pages, less their html, with text (main text, its blocks joined by newlines) and n_chars.
 
     Null or empty html gives an empty text.  Null URLs, or URLs without ://, form a host of their own.  Repeated pages are
-    compared with the nearest page that differs, and a page whose host has no other content keeps all but its chrome.
+    compared with the nearest pages that differ, and a page whose host has no other content keeps all but its chrome.
     Columns named text or n_chars are replaced.
     """
     n = buckets or range_count(pages, F.octet_length(col(html_col)))
@@ -272,9 +301,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     away: dict = {}
     if bounds:
         keys = pages.select(key.alias("_sort"), col(html_col).alias("_html")).mapInArrow(outline, "_bucket int, _sort string, _digest binary")
-        ends = keys.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_sort", "_digest").mapInArrow(range_ends, ENDS).collect()  # a row a range
-        pair = lambda s, d: None if s is None else (s, bytes(d))
-        away = guests(sorted(((r[0], *[pair(r[i], r[i + 1]) for i in (1, 3, 5, 7)]) for r in ends), key=lambda r: r[0]))
+        ends = keys.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_sort", "_digest").mapInArrow(lambda batches: range_ends(batches, reach), ENDS).collect()  # a row a range
+        runs = lambda sorts, digests: [(s, bytes(d)) for s, d in zip(sorts, digests)]
+        away = guests(sorted(((r.bucket, runs(r.first_sort, r.first_digest), runs(r.last_sort, r.last_digest), r.alone) for r in ends), key=lambda r: r[0]), reach)
 
     def parse(batches):
         sent = set()
@@ -283,10 +312,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 batch = big.slice(start, 256)
                 zones, lines, digests, place = [], [], [], []
                 for i, (sort, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    found = page_lines(source or "")
+                    found = [f for f in page_lines(source or "") if f[0] != CHROME]
                     zones.append(bytes(z for z, _ in found))
-                    # chrome is only compared, so its hash is enough
-                    lines.append([x if z != CHROME else "#" + format(hash_line(x), "x") for z, x in found])
+                    lines.append([x for _, x in found])
                     digests.append(content_key(found))
                     place.append((i, bisect.bisect_right(bounds, sort), 0))
                     for to in away.get((sort, digests[-1]), ()):
@@ -304,21 +332,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     placed = rows.mapInArrow(parse, schema).repartition(n, "_bucket").sortWithinPartitions("_bucket", "_side", "_sort", "_digest")
 
     def difference(batches):
-        before, run, made = None, [], []  # run: neighbours of equal content
-        for page in read(batches):
-            here = run and run[-1]["place"] == page["place"]
-            if here and run[-1]["digest"] == page["digest"]:
-                if page["zones"] == run[-1]["zones"] and page["lines"] == run[-1]["lines"]:
-                    page["zones"], page["lines"] = run[-1]["zones"], run[-1]["lines"]  # copies share memory
-                run.append(page)
-                continue
-            for done in finish(before, run, page if here else None):
-                made.append(done)
-                if len(made) == 256:
-                    yield emit(made)
-                    made = []
-            before, run = run[-1] if here else None, [page]
-        for done in finish(before, run, None):
+        made = []
+        for done in texts(runs(read(batches))):
             made.append(done)
             if len(made) == 256:
                 yield emit(made)
@@ -326,26 +341,49 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         if made:
             yield emit(made)
 
+    def runs(pages_):
+        """Pages of equal content that follow each other, as lists."""
+        run = []
+        for page in pages_:
+            if run and run[-1]["place"] == page["place"] and run[-1]["digest"] == page["digest"]:
+                page["zones"], page["lines"] = run[-1]["zones"], run[-1]["lines"]  # copies share memory
+                run.append(page)
+                continue
+            if run:
+                yield run
+            run = [page]
+        if run:
+            yield run
+
+    def texts(all_runs):
+        """(row, text) of the pages of each run, once the runs after it are there."""
+        before, waiting = deque(maxlen=reach), deque()
+        for run in chain(all_runs, [None]):
+            ends = run is None or waiting and waiting[-1][0]["place"] != run[0]["place"]
+            while waiting and (ends or len(waiting) > reach):
+                now = waiting.popleft()
+                yield from finish(before, now, list(waiting)[:reach])
+                before.append(now[:1])
+            if ends:
+                before.clear()
+            waiting.append(run)
+
     def read(batches):
         for big in batches:
             for start in range(0, big.num_rows, 256):
                 batch = big.slice(start, 256)
                 for i, (bucket, side, sort, digest, zones, lines) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5, 6)), strict=True)):
-                    host, path = sort.split("\x01")[:2]
-                    yield {"place": (bucket, host), "side": side, "path": path, "digest": digest, "zones": list(zones), "lines": lines, "row": batch.column(4).take(pa.array([i]))}
+                    host = host_part(sort)
+                    yield {"place": (bucket, host), "side": side, "digest": digest, "zones": list(zones), "lines": lines, "row": batch.column(4).take(pa.array([i]))}
 
     def finish(before, run, after):
-        near, last, text = [p for p in (before, after) if p], None, ""
-        for page in run:
-            if page["side"]:  # another range's
-                continue
-            other = None
-            if near and OTHER in page["zones"]:  # else no line depends on it
-                other = max(near, key=lambda p: alike(p["path"], page["path"]))
-            if last is None or last[0] is not page["lines"] or last[1] is not other:
-                last = page["lines"], other
-                text = main_text(page["zones"], page["lines"], common_lines(page["lines"], other["lines"]) if other else set())
-            yield page["row"], text
+        mine = [page["row"] for page in run if not page["side"]]  # the others are another range's
+        if mine:
+            lines = run[0]["lines"]
+            gone = deleted(run[0]["zones"], lines, [r[0]["lines"] for r in [*before, *after]])
+            text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+            for row in mine:
+                yield row, text
 
     def emit(made):
         row = pa.concat_arrays([m[0] for m in made])
@@ -355,10 +393,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return placed.mapInArrow(difference, T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 
-def hash_line(line: str) -> int:
-    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-
-
 def op4_html_text(spark, sf_dir: str) -> DataFrame:
     pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), "html")
     return extract_text(pages)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -251,58 +252,84 @@ def test_page_text(spark):
 
 
 def test_page_text_beside_article(spark):
-    page = "<body><div>Menu</div><article><p>{}</p><p>quote</p></article><p>{}</p><div>Bottom</div></body>"
-    df = spark.createDataFrame([(k, f"http://h.org/{k}", page.format(f"body {k}", f"note {k}")) for k in range(3)], "page_id long, url string, html string")
-    found = {r.page_id: r.text for r in html_text.extract_text(df, buckets=1).collect()}
-    assert found == {k: f"body {k}\nquote\nnote {k}" for k in range(3)}
-
-
-def test_page_text_of_copies_and_range_edges(spark):
-    """The nearest page of other content is compared, whatever the ranges are."""
+    """Beside an article one neighbour decides; in it most of them, and two at least; versions of a page have no say in it."""
+    page = "<body><div>Menu</div><article><p>{}</p><p>quote</p><p>{}</p></article><p>{}</p><div>Bottom</div></body>"
+    rows = [(k, f"http://h.org/{k}", page.format(f"body {k}", f"more {k}", f"note {k}")) for k in range(5)]
+    rows += [(10 + k, f"http://two.org/{k}", page.format(f"body {k}", f"more {k}", f"note {k}")) for k in range(2)]
+    rows += [(20 + k, f"http://same.org/{k}", page.format("body", f"more {k}", f"note {k}")) for k in range(5)]
+    found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: f"body {k}\nmore {k}\nnote {k}" for k in range(5)} | {10 + k: f"body {k}\nquote\nmore {k}\nnote {k}" for k in range(2)}
+    assert found == want | {20 + k: f"body\nquote\nmore {k}\nnote {k}" for k in range(5)}
+
+
+def plain_common(a, b):
+    """A longest common subsequence by the whole table: indexes of a, as the walk back from the ends finds them."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize("reach", [1, 2])
+def test_page_text_of_copies_and_range_edges(spark, reach):
+    """The nearest pages of other content are compared, whatever the ranges are."""
     rng = random.Random(4)
-    page = '<body><div class="ad">{}</div><div>Menu {}</div><p>{}</p><p>{}</p><div>Bottom</div></body>'
+    page = '<body><div class="ad">{}</div><div>Menu {}</div><article><p>{}</p><p>{}</p></article><p>{}</p><div>Bottom</div></body>'
+    zones = [1, 2, 2, 1, 1]
     rows, plain = [], []
     for h in range(3):
         k = 0
         while k < 40:
             size = rng.choice([1, 1, 2, 3, 15])  # so many in a row are copies; some under one path
-            body, menu, quote, same = f"body {h} {k}", rng.choice("ab"), f"quote {rng.randint(0, 2)}", rng.random() < 0.5
+            body, menu, quote, note, same = f"body {h} {k}", rng.choice("ab"), f"quote {rng.randint(0, 2)}", f"note {rng.randint(0, 5)}", rng.random() < 0.5
             for j in range(size):
                 path = f"/{'xyz'[k * 3 // 60]}/{k if same else k + j:03d}"
-                rows.append((len(rows), f"http://h{h}.org{path}?utm={j}", page.format(rng.random(), menu, body, quote)))
-                plain.append((h, path, [f"Menu {menu}", body, quote, "Bottom"]))
+                rows.append((len(rows), f"http://h{h}.org{path}?utm={j}", page.format(rng.random(), menu, body, quote, note)))
+                plain.append((h, path, [f"Menu {menu}", body, quote, note, "Bottom"]))
             k += size
     want = {}
     for i, (h, path, lines) in enumerate(plain):
-        near = [next((p for p in side if p[0] == h and p[2] != lines), None) for side in (plain[:i][::-1], plain[i + 1 :])]
-        other = max((p for p in near if p), key=lambda p: html_text.alike(p[1], path))[2]
-        want[i] = "\n".join(x for x, y in zip(lines, other) if x != y)
-    rows += [(1000 + k, f"http://copies.org/{k}", page.format(k, "a", "only", "text")) for k in range(30)] + [(1000, "http://copies.org/0", page.format(0, "a", "only", "text"))] * 2
+        others = []
+        for side in (plain[:i][::-1], plain[i + 1 :]):
+            runs, last = [], lines
+            for p in side:
+                if p[0] != h or len(runs) == reach:
+                    break
+                if p[2] != last:
+                    runs.append(p[2])
+                    last = p[2]
+            others += runs
+        shared = [{x for x, y in zip(lines, o) if x == y} for o in others]  # each line has one place here
+        votes = [s for s in shared if len(s & set(lines[1:3])) <= 1]
+        keep = []
+        for z, x in zip(zones, lines):
+            n = sum(x in s for s in votes)
+            if not any(x in s for s in shared) if z == 1 else not (len(votes) >= 2 and n >= 2 and 2 * n > len(votes)):
+                keep.append(x)
+        want[i] = "\n".join(keep)
+    rows += [(1000 + k, f"http://copies.org/{k}", page.format(k, "a", "only", "text", "x")) for k in range(30)] + [(1000, "http://copies.org/0", page.format(0, "a", "only", "text", "x"))] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    for buckets in (1, 7, 150):
-        found = [(r.page_id, r.text) for r in html_text.extract_text(df, buckets=buckets).collect()]
+    for buckets in (1, 4, 16, 64):
+        found = [(r.page_id, r.text) for r in html_text.extract_text(df, buckets=buckets, reach=reach).collect()]
         assert len(found) == len(rows)
         assert {i: t for i, t in found if i < 1000} == want
-        assert {t for i, t in found if i >= 1000} == {"Menu a\nonly\ntext\nBottom"}
+        assert {t for i, t in found if i >= 1000} == {"Menu a\nonly\ntext\nx\nBottom"}
 
 
 def test_common_lines():
     rng = random.Random(2)
-
-    def length(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            last, row = row, [0]
-            for j, y in enumerate(b):
-                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        return row[-1]
-
-    for _ in range(200):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
         found = sorted(html_text.common_lines(a, b))
-        assert len(found) == length(a, b)
+        assert len(found) == plain_common(a, b)
         it = iter(b)
         assert all(a[i] in it for i in found)
+    many = [["same", "same", f"x{k}"][: 2 + k % 2] for k in range(4000)]
+    a, b = ([x for row in many[::s] for x in row] for s in (1, -1))  # thousands of equal lines on both sides
+    began = time.time()
+    found = html_text.common_lines(["left", *a, "left"], ["right", *b, "right"])
+    assert len(found) >= 8000 and time.time() - began < 20
 
 
 def test_folds(spark):
