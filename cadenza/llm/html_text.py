@@ -7,8 +7,8 @@ a page and of each neighbour are aligned by a longest common subsequence, and sh
 the markup is a prior:
 
 * a line outside of any article (or main) element goes if one neighbour shares it;
-* a line in an article goes if most of the neighbours, and two at least, share it: articles quote each other, but what
-  nearly all pages repeat is the site's.  A neighbour that shares over half of the article's lines is another version of the
+* a line in an article goes if all neighbours, and three at least, share it: articles quote each other, but what all
+  pages around repeat is the site's.  A neighbour that shares over half of the article's lines is another version of the
   page and says nothing about them;
 * a line in an element that is chrome by tag, role or class (menus, footers, adverts, forms, comments ...) goes before that,
   for much of it differs from page to page.
@@ -198,8 +198,8 @@ def deleted(zones: list[int], lines: list[str], others: list[list[str]]) -> set[
     out = {i for s in shared for i in s if zones[i] == OTHER}
     article = [i for i, z in enumerate(zones) if z == MAIN]
     votes = [s for s in shared if 2 * sum(i in s for i in article) <= len(article)]
-    if len(votes) >= 2:
-        out |= {i for i in article if (n := sum(i in s for s in votes)) >= 2 and 2 * n > len(votes)}
+    if len(votes) >= 3:
+        out |= {i for i in article if all(i in s for s in votes)}
     return out
 
 
