@@ -88,9 +88,14 @@ def mel_frames(pcm: DataFrame, bands: int = MEL_BANDS) -> DataFrame:
     return pcm.select("piece_id", "sample_rate", "samples").mapInPandas(run, f"piece_id {kind}, frame int, mel array<float>")
 
 
+def has_bands(mel: Column, bands: int = MEL_BANDS) -> Column:
+    """Whether a frame has that number of bands; a null frame has none."""
+    return F.coalesce(F.size(mel) == bands, F.lit(False))
+
+
 def check_bands(mel: Column, bands: int = MEL_BANDS) -> Column:
     """Null, or an error if a frame has another number of bands."""
-    return F.assert_true(F.size(mel) == bands, f"a frame must have {bands} bands")
+    return F.assert_true(has_bands(mel, bands), f"a frame must have {bands} bands")
 
 
 def duration(samples: Column, rate: Column) -> Column:

@@ -6,21 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_beats(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
-    """(piece_id, time, beat, downbeat): 1 on each downbeat, then counting up.
+def number_marked(marked: DataFrame) -> DataFrame:
+    """marked (piece_id, time, is_beat, is_down) with beat: 1 on each downbeat, then counting up; null on rows that are no beats.
 
-    downbeats must be beats (as snap_downbeats leaves them).  Beats before the first downbeat count up to it if there are
-    two downbeats or more and the pickup is shorter than the first measure; otherwise they count from 2.
+    Beats before the first downbeat count up to it if there are two downbeats or more and the pickup is shorter than the first
+    measure; otherwise they count from 2.  All windows share one order.
     """
-    marked = beats.select("piece_id", "time").join(downbeats.select("piece_id", "time").distinct().withColumn("down", F.lit(1)), ["piece_id", "time"], "left").fillna(0, ["down"])
     by = Window.partitionBy("piece_id").orderBy("time")
-    placed = marked.withColumn("rank", F.row_number().over(by) - 1).withColumn("measure", F.sum("down").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     piece = Window.partitionBy("piece_id")
-    first = F.min(F.when((F.col("down") == 1) & (F.col("measure") == 1), F.col("rank"))).over(piece)
-    second = F.min(F.when((F.col("down") == 1) & (F.col("measure") == 2), F.col("rank"))).over(piece)
-    placed = placed.withColumn("first", first).withColumn("second", second)
+    down = F.col("is_beat") & F.col("is_down")
+    placed = marked.withColumn("rank", F.count_if("is_beat").over(so_far) - 1).withColumn("measure", F.count_if(down).over(so_far))
+    start = lambda k: F.min(F.when(down & (F.col("measure") == k), F.col("rank"))).over(piece)
+    placed = placed.withColumn("first", start(1)).withColumn("second", start(2)).withColumn("last", F.max(F.when(down, F.col("rank"))).over(so_far))
     length = F.col("second") - F.col("first")
-    start = F.when(F.col("second").isNotNull() & (F.col("first") < length), length - F.col("first")).otherwise(F.lit(1))
-    within = F.row_number().over(Window.partitionBy("piece_id", "measure").orderBy("time"))
-    beat = within + F.when(F.col("measure") == 0, start).otherwise(0)
-    return placed.select("piece_id", "time", beat.cast("int").alias("beat"), (beat == 1).alias("downbeat"))
+    pickup = F.when(F.col("second").isNotNull() & (F.col("first") < length), length - F.col("first")).otherwise(F.lit(1))
+    beat = F.col("rank") + 1 + F.when(F.col("measure") == 0, pickup).otherwise(-F.col("last"))
+    return placed.withColumn("beat", F.when(F.col("is_beat"), beat).cast("int")).drop("rank", "measure", "first", "second", "last")
+
+
+def number_beats(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
+    """(piece_id, time, beat, downbeat) of every beat; downbeats must be beats (as snap_downbeats leaves them)."""
+    downs = downbeats.select("piece_id", "time").distinct().withColumn("is_down", F.lit(True))
+    marked = beats.select("piece_id", "time", F.lit(True).alias("is_beat")).join(downs, ["piece_id", "time"], "left").fillna(False, ["is_down"])
+    return number_marked(marked).select("piece_id", "time", "beat", (F.col("beat") == 1).alias("downbeat"))

@@ -10,19 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import FPS
-from ..operators.align import snap_downbeats
+from ..operators.align import mark_beats
 from ..operators.chunking import Model, predict
 from ..operators.features import mel_frames
-from ..operators.meter import number_beats
-from ..operators.peaks import peak_times
-from ..operators.tempo import median_bpm
-from ..sources.sinks import results
+from ..operators.meter import number_marked
+from ..operators.peaks import all_times
+from ..operators.tempo import bpm_of, valid_interval
+
+
+def mark_logits(logits: DataFrame, fps: float = FPS, anchors: bool = False) -> DataFrame:
+    """(piece_id, time, is_beat, is_down) of (piece_id, frame, beat, downbeat): both scores' peaks, in one pass."""
+    return mark_beats(all_times(logits, fps=fps, anchors=anchors))
 
 
 def decode_logits(logits: DataFrame, fps: float = FPS) -> tuple[DataFrame, DataFrame]:
-    """(beats, downbeats), each (piece_id, time), from (piece_id, frame, beat, downbeat); downbeats lie on beats."""
-    beats = peak_times(logits, "beat", fps)
-    return beats, snap_downbeats(beats, peak_times(logits, "downbeat", fps))
+    """(beats, downbeats), each (piece_id, time); downbeats lie on beats."""
+    marked = mark_logits(logits, fps)
+    return marked.where("is_beat").select("piece_id", "time"), marked.where("is_down").select("piece_id", "time")
 
 
 def decode_arrays(beat: list[float], downbeat: list[float], spark, fps: float = FPS) -> tuple[list[float], list[float]]:
@@ -36,14 +40,18 @@ def decode_arrays(beat: list[float], downbeat: list[float], spark, fps: float =
 
 def number_logits(logits: DataFrame, fps: float = FPS) -> DataFrame:
     """(piece_id, time, beat, downbeat) of every beat."""
-    beats, downs = decode_logits(logits, fps)
-    return number_beats(beats, downs)
+    return number_marked(mark_logits(logits, fps).where("is_beat")).select("piece_id", "time", "beat", (F.col("beat") == 1).alias("downbeat"))
 
 
 def analyze_logits(logits: DataFrame, fps: float = FPS) -> DataFrame:
-    """results (piece_id, beats, downbeats, bpm), a row a piece."""
-    beats, downs = decode_logits(logits, fps)
-    return results(number_beats(beats, downs), median_bpm(beats, logits.select("piece_id")), downs)
+    """results (piece_id, beats, downbeats, bpm), a row a piece, from one scan and one grouping."""
+    rows = number_marked(mark_logits(logits, fps, anchors=True))
+    rows = rows.withColumn("interval", F.when(F.col("is_beat"), F.col("time") - F.expr("lag(IF(is_beat, time, NULL)) IGNORE NULLS OVER (PARTITION BY piece_id ORDER BY time)")))
+    return rows.groupBy("piece_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("is_beat"), F.struct("time", "beat", (F.col("beat") == 1).alias("downbeat"))))).alias("beats"),
+        F.array_sort(F.collect_list(F.when(F.col("is_down"), F.col("time")))).alias("downbeats"),
+        bpm_of(F.median(F.when(valid_interval(F.col("interval")), F.col("interval")))).alias("bpm"),
+    )
 
 
 def analyze(pcm: DataFrame, make_model: Callable[[], Model]) -> DataFrame:
