@@ -161,7 +161,7 @@ def identify(docs: DataFrame, known: DataFrame, text_col: str = "text", lang_col
                         labels.append(y[i])
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), binary(packed)], ["y", "x"])
 
-    rows = picked.limit(2 * max_sample).mapInArrow(gather, "y string, x binary").toPandas()  # bounded by max_sample
+    rows = picked.orderBy(u, "t", "y").limit(2 * max_sample).mapInArrow(gather, "y string, x binary").toPandas()  # bounded by max_sample
     model = None
     if len(rows):
         x = np.zeros((len(rows), DIMS), np.float32)

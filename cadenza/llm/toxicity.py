@@ -164,11 +164,11 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 
 def sample_labels(labels: DataFrame, id_col: str, label_col: str, max_toxic: int, max_clean: int) -> DataFrame:
-    """At most about max_toxic + max_clean labelled ids, by a hash of the id (each class by a threshold, then a limit)."""
+    """At most about max_toxic + max_clean labelled ids, by a hash of the id: the ids of the lowest hashes of each class."""
     one = labels.where(F.col(label_col).isin(0, 1) & col(id_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     n = {r.y: r.n for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
-    parts = [one.where((F.col("y") == y) & (u < min(1.0, most / max(1, n.get(y, 0))))).limit(most) for y, most in ((1, max_toxic), (0, max_clean))]
+    parts = [one.where((F.col("y") == y) & (u < min(1.0, 2 * most / max(1, n.get(y, 0))))).orderBy(u, "id").limit(most) for y, most in ((1, max_toxic), (0, max_clean))]
     return parts[0].unionByName(parts[1])
 
 

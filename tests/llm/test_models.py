@@ -151,6 +151,12 @@ LANGS = {
 }
 
 
+def test_labelled_sample_repeats(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    found = [sorted(map(tuple, toxicity.sample_labels(rows.repartition(n), "doc_id", "toxic", 100, 200).collect())) for n in (2, 7)]
+    assert found[0] == found[1] and [sum(y == k for _, y in found[0]) for k in (1, 0)] == [100, 200]
+
+
 def test_language_id(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(LANGS[y], k=rng.randint(4, 60))), y) for i, y in enumerate(sorted(LANGS) * 60)]
