@@ -97,8 +97,12 @@ def mix_sources(
     cells = stored(marks.groupBy(key(source_col).alias("m1"), key(lang_col).alias("m2"), F.col("topic").alias("m3")).agg(F.sum("n_tokens").alias("tokens")), folder, "cells")
     few = cells.count() <= small
     cells = stored(rake(cells.coalesce(1) if few else cells, targets, power, rate, sweeps, folder), folder, "raked")
-    chance = cells.select(F.col("m1").alias("_m1"), F.col("m2").alias("_m2"), F.col("m3").alias("_m3"), F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens") * rate).otherwise(F.lit(rate)).alias("probability"))
-    out = marks.join(F.broadcast(chance) if few else chance, (key(source_col) == F.col("_m1")) & (key(lang_col) == F.col("_m2")) & (F.col("topic") == F.col("_m3")), "left").drop("_m1", "_m2", "_m3")
+    taken = {c.lower() for c in marks.columns}
+    on = [next(n for k in range(len(taken) + 1) if (n := f"_{m}_{k}") not in taken) for m in MARGINS]  # names that no column of docs has
+    probability = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens") * rate).otherwise(F.lit(rate)).alias("probability")
+    chance = cells.select(*[F.col(m).alias(n) for m, n in zip(MARGINS, on, strict=True)], probability)
+    same = (key(source_col) == F.col(on[0])) & (key(lang_col) == F.col(on[1])) & (F.col("topic") == F.col(on[2]))
+    out = marks.join(F.broadcast(chance) if few else chance, same, "left").drop(*on)
     return out.withColumn("sampled", unit_hash(key(id_col), seed) < F.col("probability"))
 
 

@@ -47,7 +47,7 @@ def documents(spark, texts, extra=False):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     if extra:  # a null id, a repeated row, and columns whose names clash with those the operators add
         df = df.unionByName(spark.createDataFrame([(None, "no id here", "en", "src0"), (1, texts[1], "en", "src1")], df.schema))
-        for c in ("n_words", "Kept", "score", "n_lines", "a.b", "h", "shard", "_row", "topic", "probability", "spans", "items", "node", "n"):
+        for c in ("n_words", "Kept", "score", "n_lines", "a.b", "h", "shard", "_row", "topic", "probability", "spans", "items", "node", "n", "_m1", "_m1_0", "m1", "gone_id"):
             from pyspark.sql import functions as F
 
             df = df.withColumn(c, F.lit("clash"))
