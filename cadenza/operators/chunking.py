@@ -100,20 +100,27 @@ def pick_output(outputs: dict[str, np.ndarray], name: str) -> np.ndarray:
     raise KeyError(f"no output {name} or {name}_logits among {sorted(outputs)}")
 
 
+_sessions: dict = {}  # path: session, for the life of a Python worker
+
+
+def onnx_session(path: str):
+    """The session of an ONNX file on one CPU thread, loaded once in each Python process."""
+    if path not in _sessions:
+        import onnxruntime as ort
+
+        options = ort.SessionOptions()
+        options.intra_op_num_threads = 1
+        _sessions[path] = ort.InferenceSession(path, options, providers=["CPUExecutionProvider"])
+    return _sessions[path]
+
+
 def onnx_model(path: str) -> Callable[[], Model]:
-    """A model in an ONNX file (input spectrogram, outputs beat and downbeat), loaded once in each worker, on one thread."""
-    held: dict = {}
+    """A model in an ONNX file: input spectrogram, outputs beat and downbeat."""
 
     def make() -> Model:
-        if "session" not in held:
-            import onnxruntime as ort
-
-            options = ort.SessionOptions()
-            options.intra_op_num_threads = 1
-            held["session"] = ort.InferenceSession(path, options, providers=["CPUExecutionProvider"])
+        session = onnx_session(path)
 
         def model(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            session = held["session"]
             found = dict(zip([o.name for o in session.get_outputs()], session.run(None, {session.get_inputs()[0].name: x}), strict=True))
             return pick_output(found, "beat"), pick_output(found, "downbeat")
 

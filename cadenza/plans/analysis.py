@@ -54,15 +54,19 @@ def analyze_logits(logits: DataFrame, fps: float = FPS) -> DataFrame:
     )
 
 
-def analyze(pcm: DataFrame, make_model: Callable[[], Model]) -> DataFrame:
-    """results of pcm (piece_id, sample_rate, samples); pieces without frames keep a row without beats."""
-    frames = mel_frames(pcm.where(F.col("samples").isNotNull()))
-    found = analyze_logits(predict(frames, make_model))
+def with_empty(pcm: DataFrame, found: DataFrame) -> DataFrame:
+    """results of all pieces of pcm: those that found lacks keep a row without beats."""
     out = pcm.select("piece_id").distinct().join(found, "piece_id", "left")
     empty = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
     return out.select("piece_id", empty("beats"), empty("downbeats"), "bpm")
 
 
+def analyze(pcm: DataFrame, make_model: Callable[[], Model]) -> DataFrame:
+    """results of pcm (piece_id, sample_rate, samples); pieces without frames keep a row without beats."""
+    frames = mel_frames(pcm.where(F.col("samples").isNotNull()))
+    return with_empty(pcm, analyze_logits(predict(frames, make_model)))
+
+
 def analyze_timed(pcm: DataFrame, make_model: Callable[[], Model]) -> tuple[DataFrame, dict[str, float]]:
     """results, and the seconds that mel frames, the model and the decoding took, each computed and kept before the next."""
     seconds, began = {}, time.perf_counter()
@@ -76,7 +80,7 @@ def analyze_timed(pcm: DataFrame, make_model: Callable[[], Model]) -> tuple[Data
 
     frames = done("mel", mel_frames(pcm.where(F.col("samples").isNotNull())))
     logits = done("predict", predict(frames, make_model))
-    found = done("decode", analyze_logits(logits))
+    found = done("decode", with_empty(pcm, analyze_logits(logits)))
     frames.unpersist()
     logits.unpersist()
     return found, seconds

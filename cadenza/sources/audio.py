@@ -6,6 +6,7 @@ import glob
 import json
 import os
 import struct
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -96,23 +97,24 @@ def mono(x: np.ndarray, channels: int) -> np.ndarray:
 
 
 def load_pcm(files: DataFrame, rate: int = SAMPLE_RATE, decoder: Callable[[bytes], tuple[np.ndarray, int, int]] = decode_wav) -> DataFrame:
-    """pcm (piece_id, sample_rate, samples, error) of (piece_id, content): decoded, mixed to mono, resampled.
+    """pcm (piece_id, sample_rate, samples, error, seconds) of (piece_id, content): decoded, mixed to mono, resampled.
 
-    A file that can't be decoded keeps its row, with null samples and the error.
+    A file that can't be decoded keeps its row, with null samples and the error.  seconds: what the file itself took.
     """
     kind = files.schema["piece_id"].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
             for piece, content in zip(pdf.piece_id, pdf.content, strict=True):
+                began = time.perf_counter()
                 try:
                     x, source, channels = decoder(bytes(content))
                     row = (resample(mono(x, channels), source, rate), None)
                 except Exception as e:  # any decoder may fail in its own way; the row says how
                     row = (None, f"{type(e).__name__}: {e}")
-                yield pd.DataFrame({"piece_id": [piece], "sample_rate": [rate], "samples": [row[0]], "error": [row[1]]})
+                yield pd.DataFrame({"piece_id": [piece], "sample_rate": [rate], "samples": [row[0]], "error": [row[1]], "seconds": [time.perf_counter() - began]})
 
-    return files.mapInPandas(run, f"piece_id {kind}, sample_rate int, samples array<float>, error string")
+    return files.mapInPandas(run, f"piece_id {kind}, sample_rate int, samples array<float>, error string, seconds double")
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:

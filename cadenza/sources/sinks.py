@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constants import MIX_RATE
 from ..functions.render import npy_bytes, render_clicks, wav_bytes
+from ..operators.features import log_mel, resample
+from .audio import decode_wav, mono
 
 KINDS = ("json", "beats", "click", "mix", "mel")
 _EXTENSION = {"json": "json", "beats": "beats", "click": "click.wav", "mix": "mix.wav", "mel": "mel.npy"}
@@ -53,9 +59,10 @@ def write_if_needed(path: str, overwrite: bool, make: Callable[[], bytes]) -> bo
     if os.path.exists(path) and not overwrite:
         print(f"Skipped {path} (it exists)")
         return False
-    data = make()
-    with open(path, "wb") as f:
+    data, temp = make(), f"{path}.{os.getpid()}.part"
+    with open(temp, "wb") as f:
         f.write(data)
+    os.replace(temp, path)  # a task that is lost leaves no half file
     return True
 
 
@@ -82,6 +89,44 @@ def write_outputs(row, flags: dict[str, str | None], overwrite: bool = False, or
     return out
 
 
+def local_path(piece: str) -> str:
+    """The path of a file of the scan, without its scheme."""
+    path = piece.removeprefix("file:")
+    return path[2:] if path.startswith("//") else path
+
+
+def write_all(found: DataFrame, pcm: DataFrame, files: DataFrame, flags: dict[str, str | None], overwrite: bool = False) -> DataFrame:
+    """(piece_id, outputs: paths written, error, seconds) of results: each piece's files are rendered and written where its row is.
+
+    pcm, files: what load_pcm and scan_audio gave.  Samples move only for spectrograms and file contents only for mixes.  The
+    inputs' folders must be ones that the executors share.  A piece that can't be written keeps its row, with the error.
+    """
+    rows = found.select("piece_id", F.col("beats.time").alias("times"), F.col("beats.beat").alias("counts"), "downbeats", "bpm")
+    kind = rows.schema["piece_id"].dataType.simpleString()
+    if flags.get("mel") is not None:
+        rows = rows.join(pcm.select("piece_id", "samples"), "piece_id")
+    if flags.get("mix") is not None:
+        rows = rows.join(files.select("piece_id", "content"), "piece_id")
+
+    def original(content: bytes) -> np.ndarray:
+        x, rate, channels = decode_wav(bytes(content))
+        return resample(mono(x, channels), rate, MIX_RATE)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                began, outputs, error = time.perf_counter(), [], None
+                beats = [SimpleNamespace(time=float(t), beat=int(c), downbeat=int(c) == 1) for t, c in zip(r.times, r.counts, strict=True)]
+                row = SimpleNamespace(piece_id=local_path(r.piece_id), beats=beats, downbeats=[float(t) for t in r.downbeats], bpm=None if pd.isna(r.bpm) else float(r.bpm))
+                try:
+                    outputs = write_outputs(row, flags, overwrite, lambda r=r: original(r.content), lambda r=r: log_mel(np.asarray(r.samples, np.float32)), MIX_RATE)
+                except (OSError, ValueError) as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"piece_id": [r.piece_id], "outputs": [outputs], "error": [error], "seconds": [time.perf_counter() - began]})
+
+    return rows.mapInPandas(run, f"piece_id {kind}, outputs array<string>, error string, seconds double")
+
+
 def write_summary(path: str, files: list[dict], summary: dict) -> None:
     """The batch summary, always written anew."""
     with open(path, "w") as f:

@@ -116,7 +116,7 @@ def test_beats_file_round_trip(spark, tmp_path):
     assert [tuple(r) for r in audio.read_beats(spark, str(tmp_path / "a.beats")).collect()] == [(0.5, 1), (1.0, 2)]
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, monkeypatch):
     def loudness_model():  # a frame is a beat where it is loud
         def model(frames):
             loud = frames.mean(axis=2) - 0.5
@@ -130,18 +130,35 @@ def test_command_line(spark, tmp_path):
         x[k * rate // 2 : k * rate // 2 + 600] = 0.9 * np.sin(np.arange(600) * 0.3)
     (tmp_path / "good.wav").write_bytes(wav_bytes(x, rate))
     (tmp_path / "bad.wav").write_bytes(b"RIFF")
+    (tmp_path / "long.wav").write_bytes(wav_bytes(np.tile(x, 3), rate))
     args = cli.options([str(tmp_path), "--json", "--beats", "--click", "--mix", "--mel"])
+    decode, log = audio.decode_wav, str(tmp_path / "pids")
+
+    def spy(data):
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return decode(data)
+
+    monkeypatch.setattr(sinks, "decode_wav", spy)
     assert cli.run(spark, args, loudness_model) == 0
+    pids = open(log).read().split()
+    assert len(pids) == 2 and str(os.getpid()) not in pids  # one mix each, and none on the driver
+    monkeypatch.undo()
     found = json.loads((tmp_path / "good.json").read_text())
     assert found["bpm"] == pytest.approx(120, abs=3) and len(found["beats"]) == 7
     assert len((tmp_path / "good.beats").read_text().splitlines()) == 7
     assert np.load(tmp_path / "good.mel.npy").shape[1] == 128
     assert len(audio.decode_wav((tmp_path / "good.mix.wav").read_bytes())[0]) >= 44100 * 4 - 2
-    summary = json.loads((tmp_path / "batch_summary.json").read_text())["summary"]
-    assert (summary["total_files"], summary["failed_files"]) == (2, 1)
+    batch = json.loads((tmp_path / "batch_summary.json").read_text())
+    assert (batch["summary"]["total_files"], batch["summary"]["failed_files"]) == (3, 1)
+    one, other = batch["files"]
+    assert other["duration_secs"] == pytest.approx(3 * one["duration_secs"]) and other["processing_time_secs"] > one["processing_time_secs"] > 0
+    assert len(one["outputs"]) == 5 and batch["summary"]["total_processing_time_secs"] == pytest.approx(one["processing_time_secs"] + other["processing_time_secs"], rel=1e-5)
     before = (tmp_path / "good.json").stat().st_mtime_ns
     cli.run(spark, args, loudness_model)
     assert (tmp_path / "good.json").stat().st_mtime_ns == before  # there already, so left alone
+    args = cli.options([str(tmp_path / "good.wav"), "--verbose", "--json", str(tmp_path / "named.json")])
+    assert cli.run(spark, args, loudness_model) == 0 and json.loads((tmp_path / "named.json").read_text()) == found
 
 
 def test_default_outputs():
